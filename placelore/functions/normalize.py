@@ -152,17 +152,17 @@ def evaluation_word(text: Column) -> Column:
 def lexicon_spans(text: Column, category: str) -> Column:
     """Phrases of a lexicon that occur as whole words, in lexicon order, distinct."""
     return F.array_compact(F.array(*[
-        F.when(text.rlike(r"\b" + p.replace("-", r"\-") + r"\b"), F.lit(p)) for p in R.SPAN_PHRASES[category]]))
+        F.when(F.contains(text, F.lit(p)) & text.rlike(r"\b" + p + r"\b"), F.lit(p)) for p in R.SPAN_PHRASES[category]]))
 
 
 def keyword_tag(text: Column, category: str) -> Column:
     """Multi-word keys match as substrings; single words must stand between blanks."""
-    padded = F.concat(F.lit(" "), F.translate(F.lower(text), ",.", "  "), F.lit(" "))
+    low = F.lower(text)
+    padded = F.concat(F.lit(" "), F.translate(low, ",.", "  "), F.lit(" "))
     keys = R.TAG_KEYWORDS[category]
-    multi = F.array(*[F.lit(k) for k in keys if " " in k]) if any(" " in k for k in keys) else None
-    single = F.array(*[F.lit(f" {k} ") for k in keys if " " not in k])
-    hit = F.exists(single, lambda k: F.contains(padded, k))
-    return hit | F.exists(multi, lambda k: F.contains(F.lower(text), k)) if multi is not None else hit
+    single = padded.rlike(" (?:" + "|".join(k for k in keys if " " not in k) + ") ")
+    phrases = [k for k in keys if " " in k]
+    return single | low.rlike("|".join(phrases)) if phrases else single
 
 
 def rule_fires(text: Column, category: str) -> Column:

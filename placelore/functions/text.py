@@ -17,6 +17,8 @@ EMOJI = (r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\
          r"\x{2640}-\x{2642}\x{2600}-\x{2B55}\x{200D}\x{23CF}\x{23E9}\x{231A}\x{FE0F}\x{3030}]+")
 URL = r"https?://\S+|www\.\S+"
 REPEATED_PUNCTUATION = r"([!?.]){3,}"
+BLANK = r"\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+INLINE_BLANK = BLANK.replace(r"\s", r" \t\x{0B}\f\r")
 KEPT_SHORT_WORDS = ["am", "pm", "no", "not"]
 LISTING_SUFFIX = r"(?i)(Unclaimed|Claimed)?If_?you_?own_?this_?business.*$"
 PROFILE_SUFFIXES = [r"UnclaimedIf_you_own.*", r"Someone_from_this_business.*"]
@@ -33,7 +35,6 @@ def unescape_html(text: pd.Series) -> pd.Series:
 
 
 def decode_entities(text: Column) -> Column:
-    """Rows without an ampersand never leave the JVM side of the branch with a changed value."""
     return unescape_html(text)
 
 
@@ -51,13 +52,13 @@ def reduce_punctuation(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def normalize_whitespace(text: Column) -> Column:
     lines = F.regexp_replace(text, r"\r\n|\r", "\n")
     lines = F.regexp_replace(lines, r"\n{3,}", "\n\n")
-    return strip(F.regexp_replace(lines, r"[^\S\n]+", " "))
+    return strip(F.regexp_replace(lines, rf"[{INLINE_BLANK}]+", " "))
 
 
 def clean_text(text: Column) -> Column:

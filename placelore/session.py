@@ -53,5 +53,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if fits else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work every core when a scan has fewer splits than cores; a large scan is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from placelore.session import spread
+
 TIME_TEXTS = [
     "Go early morning to avoid the heat", "The sunset here is magical in the evening",
     "Do not go in the afternoon because it is hot", "Best in the dry season from January to March",
@@ -177,7 +179,8 @@ class Views:
         text = F.concat(_pick(TIME_TEXTS, (o * 7 + p) % len(TIME_TEXTS)), F.lit(". "),
                         _pick(CROWD_TEXTS, (o + ln * 5) % len(CROWD_TEXTS)), F.lit(". "), cost, F.lit(". "),
                         _pick(ACTIVITY_TEXTS, (p * 3 + o) % len(ACTIVITY_TEXTS)), F.lit("."))
-        return self.table("lineitem").select(
+        columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"]
+        return spread(self.table("lineitem").select(*columns)).select(
             (o * 100 + ln * 10 + p % 10).alias("review_id"), F.col("l_suppkey").alias("place_id"),
             (1 + qty % 5).alias("rating"), F.col("l_shipdate").cast("date").alias("travel_date"),
             "l_partkey", "l_discount", text.alias("text"))

@@ -43,7 +43,7 @@ def _clean_sql(expr: str) -> str:
 select doc_id, length(d) as n_display, md5(d) as display_md5, md5(lower(d)) as nlp_md5
 from (select doc_id, {_clean_sql("coalesce(text, '')")} as d from documents)""")
 def t7(v):
-    d = v.table("documents").select("doc_id", X.clean_text(F.col("text")).alias("d"))
+    d = v.documents.select("doc_id", X.clean_text(F.col("text")).alias("d"))
     return d.select("doc_id", F.length("d").alias("n_display"), F.md5("d").alias("display_md5"), F.md5(F.lower("d")).alias("nlp_md5"))
 
 
@@ -94,7 +94,7 @@ _SENT = "list_filter(list_transform(string_split(regexp_replace({t}, '([.!?])\\s
 select doc_id, pos, md5(sentence) as sentence_md5 from (
   select doc_id, unnest(s) as sentence, generate_subscripts(s, 1) - 1 as pos from (select doc_id, {_SENT.format(t="text")} as s from documents))""")
 def t15(v):
-    s = v.table("documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
+    s = v.documents.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
     return s.select("doc_id", "pos", F.md5("sentence").alias("sentence_md5"))
 
 
@@ -103,14 +103,14 @@ with s as (select doc_id, list_filter({_SENT.format(t="'Title of ' || source ||
 select doc_id, len(s) as n_sentences, md5(array_to_string(s, '|')) as all_md5 from s""")
 def t16(v):
     s = X.scored_sentences(F.concat(F.lit("Title of "), F.col("source")), F.col("text"))
-    return v.table("documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("all_md5"))
+    return v.documents.select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("all_md5"))
 
 
 @query("t17_first_long_piece", """
 select doc_id, md5((list_filter(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 20))[1]) as piece_md5
 from documents""")
 def t17(v):
-    return v.table("documents").select("doc_id", F.md5(X.first_long_piece(F.col("text"))).alias("piece_md5"))
+    return v.documents.select("doc_id", F.md5(X.first_long_piece(F.col("text"))).alias("piece_md5"))
 
 
 @query("t14_t18_sentence_keys", f"""
@@ -129,14 +129,14 @@ _TOK = f"list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: (not l
 @query("t19_token_counts", f"""
 select token, count(*) as n from (select unnest({_TOK}) as token from documents) group by token""")
 def t19(v):
-    return V.unigrams(v.table("documents"), STOP).groupBy("token").agg(F.count("*").alias("n"))
+    return V.unigrams(v.documents, STOP).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query("t20_bigram_counts", f"""
 select bigram, count(*) as n from (
   select unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) as bigram from (select {_TOK} as t from documents)) group by bigram""")
 def t20(v):
-    return V.bigram_rows(v.table("documents"), STOP).groupBy("bigram").agg(F.count("*").alias("n"))
+    return V.bigram_rows(v.documents, STOP).groupBy("bigram").agg(F.count("*").alias("n"))
 
 
 @query("t21_t22_region_theme", f"""
@@ -165,7 +165,7 @@ def t23(v):
     from placelore.functions.explore import description_body
 
     rag = F.concat(F.lit("Head. SOURCE: encyclopedia\n\n"), F.replace("text", F.lit(". "), F.lit(". \n")))
-    return v.table("documents").select("doc_id", F.md5(description_body(rag)).alias("body_md5"))
+    return v.documents.select("doc_id", F.md5(description_body(rag)).alias("body_md5"))
 
 
 @query("t25_split_places", """
@@ -200,14 +200,14 @@ from (select *, {_HITS} from (select *, {_WORDS} as w from documents))"""
 
 @query("f1_detect_language", f"select doc_id, detected, round(conf, 6) as confidence from ({_LANG})")
 def f1(v):
-    d = L.detect(v.table("documents"))
+    d = L.detect(v.documents)
     return d.select("doc_id", F.col("lang_detected").alias("detected"), F.round("lang_confidence", 6).alias("confidence"))
 
 
 @query("f2_english_filter", f"""
 select source, detected as lang_detected, count(*) as n, count(*) filter (detected = 'en' and conf >= 0.7) as kept from ({_LANG}) group by source, detected""")
 def f2(v):
-    d = L.detect(v.table("documents"))
+    d = L.detect(v.documents)
     kept = L.keep_english(d).groupBy("source", "lang_detected").agg(F.count("*").alias("kept"))
     dropped = L.rejected(d).groupBy("source", "lang_detected").agg(F.count("*").alias("dropped"))
     both = kept.join(dropped, ["source", "lang_detected"], "full").na.fill(0)
@@ -261,7 +261,7 @@ select review_id, string_agg(term, '|' order by pos, term) as terms from y group
 def m14(v):
     syn = v.table("part").select(F.lower("p_name").alias("word"), F.col("p_type").alias("term")).distinct()
     words = F.array(*[F.lit(x) for x in ["red widget", "Small Ring ", "unseen term", "red widget"]])
-    asked = v.table("documents").select(F.col("doc_id").alias("review_id"), F.posexplode(words).alias("pos", "word"))
+    asked = v.documents.select(F.col("doc_id").alias("review_id"), F.posexplode(words).alias("pos", "word"))
     out = V.resolve_synonyms(asked, syn, "review_id")
     return out.groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("t")).select(
         "review_id", F.array_join(F.transform("t", lambda x: x["term"]), "|").alias("terms"))

@@ -59,5 +59,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def pin(df: DataFrame, **columns) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A generator stands between their definition and their use, so the optimizer cannot copy a costly expression
+    into every later reference (a filter on a value derived from it would otherwise be pushed below it).
+    """
+    row = F.struct(*[c.alias(k) for k, c in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -132,6 +132,17 @@ VIEW_SQL: dict[str, str] = {
     "v_req_stops": """
         select trip_id as req_id, place_id, pos, o_totalprice
         from v_visits join orders on trip_id = o_orderkey where o_orderstatus <> 'F'""",
+    "v_budget": """
+        select o_orderkey as req_id, case when o_totalprice < 150000 then 480 when o_totalprice < 300000 then 960 else 1800 end * 1000000 as budget
+        from orders where o_orderstatus <> 'F'""",
+    "v_legs": """
+        select x.req_id, x.pos - 1 as i, y.pos - 1 as j, cast(round(travel_time_min * 1000000) as bigint) as t, cast(round(distance_km * 1000000) as bigint) as d
+        from v_req_stops x join v_req_stops y on x.req_id = y.req_id and x.pos <> y.pos join v_roads r on r.a = x.place_id and r.b = y.place_id""",
+    "v_stops": """
+        select req_id, pos - 1 as i, s.place_id, duration_min * 1000000 as dur, cost, satisfaction as sat, count(*) over (partition by req_id) as n
+        from v_req_stops s join v_places p on s.place_id = p.place_id""",
+    "v_nn_step": """
+        select req_id, n, 0 as k, 0 as cur, [0] as ord, 0::bigint as last_t, 0::bigint as last_d from v_stops where i = 0""",
     "v_edges": """
         select a, b, km as distance_km, round(1.6 * km, 6) as travel_time_min
         from (select a, b, round(1.2 * 2 * 6371 * atan2(sqrt(h), sqrt(1 - h)), 6) as km
@@ -158,10 +169,15 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Long texts: the per-row work is heavy, so a small file is spread over the cores."""
+        return spread(self.table("documents"))
+
     @cached_property
     def reviews(self) -> DataFrame:
         i = F.col("doc_id")
-        return self.table("documents").select(
+        return self.documents.select(
             i.alias("review_id"), F.col("source").alias("place_key"), "text", "lang", "n_chars",
             (1 + i % 5).alias("rating"),
             F.when(i % 11 == 0, "").otherwise(
@@ -260,6 +276,15 @@ class Views:
         still_open = self._orders().filter(F.col("o_orderstatus") != "F").select("trip_id", "o_totalprice")
         return self.visits.join(still_open, "trip_id").withColumnRenamed("trip_id", "req_id")
 
+    @cached_property
+    def requests(self) -> DataFrame:
+        """One row per open order: stops, leg matrices and a time budget (micro-minutes) by price band."""
+        from placelore.operators.trips import requests
+
+        price = F.col("o_totalprice")
+        budget = (F.when(price < 150000, 480).when(price < 300000, 960).otherwise(1800) * 1_000_000).cast("bigint")
+        return requests(self.req_stops.withColumn("budget", budget).drop("o_totalprice"), self.places, self.roads, ["budget"])
+
     @cached_property
     def edges(self) -> DataFrame:
         from placelore.functions.geo import haversine_km

@@ -113,7 +113,11 @@ def requests(stops: DataFrame, places: DataFrame, roads: DataFrame, keep: list[s
                          F.round(F.col("distance_km") * MICRO).cast("bigint").alias("d"))))).alias("m")))
     cells = F.sequence(F.lit(0), F.col("n") * F.col("n") - 1)
     at = lambda f: F.transform(cells, lambda k: F.try_element_at("m", k)[f])
-    return rows.join(legs, "req_id", "left").withColumns({"tm": at("t"), "dm": at("d")}).drop("m")
+    out = rows.join(legs, "req_id", "left").withColumns({"tm": at("t"), "dm": at("d")}).drop("m")
+    # few bytes but much work per row: keep adaptive execution from folding the rows into a handful of tasks
+    spark = out.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return out.repartition(tasks, "req_id")
 
 
 def _upto(n: Column) -> Column:
@@ -149,7 +153,7 @@ def nearest_order(rem: Column, matrix: str = "tm") -> Column:
         near = F.array_min(F.transform(left, lambda x: F.struct(F.coalesce(leg(matrix, cur, x), F.lit(NO_EDGE)).alias("w"), x.alias("x"))))
         return F.concat(route, F.coalesce(F.array(near["x"]), left))
 
-    # a stop without an edge costs NO_EDGE: connected stops come first, the others follow in given order
+    # a stop without an edge costs NO_EDGE, so it is taken last; such a route has no metrics
     return F.aggregate(rem, F.array(F.lit(0)), step)
 
 
@@ -229,7 +233,11 @@ def greedy_fill(ranked: Column, budget: Column) -> Column:
     add = lambda acc, p: F.when(~F.array_contains(acc, p) & fits(F.concat(acc, F.array(p)), budget), F.concat(acc, F.array(p))).otherwise(acc)
     first = F.aggregate(ranked, empty, add)
     given = F.array_sort(ranked)
-    return F.aggregate(ranked, first, lambda acc, _: F.aggregate(given, acc, add))
+    # a pass runs only if the pass before it added something
+    start = F.struct(first.alias("sel"), F.lit(-1).alias("before"))
+    again = lambda acc, _: F.when(F.size(acc["sel"]) == acc["before"], acc).otherwise(
+        F.struct(F.aggregate(given, acc["sel"], add).alias("sel"), F.size(acc["sel"]).alias("before")))
+    return F.aggregate(ranked, start, again).getField("sel")
 
 
 RANKINGS = ["closest first", "shortest visits", "near + short", "satisfaction density", "your priorities", "satisfaction", "lowest cost"]

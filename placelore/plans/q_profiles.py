@@ -64,8 +64,8 @@ VIEW_SQL["v_profiles"] = f"""
  select b.*, time_of_day, season, months, avoid, case when time_based_on > 0 then coalesce(tc, 0) end as time_confidence, crowd_level, avg_level, busiest, crowd_confidence, modal_level, cost_level, amount_level, opinion_level, fee_type, cost_confidence,
    case when cost_level is not null then median_lkr end as median_lkr, ['EMPTY', 'QUIET', 'MODERATE', 'BUSY', 'PACKED'][crowd_level] as crowd_label
  from (select place_id, count(*) as total_reviews, count(*) filter (tag_best_time) as time_based_on, count(*) filter (tag_crowd) as crowd_based_on, count(*) filter (tag_cost) as cost_based_on from v_norm group by place_id) b
- left join (select place_id, {_top('time_of_day')} as time_of_day, {_top('season')} as season, {_list('month', 6)} as months, {_list('avoid', 99)} as avoid, {_conf('time_of_day')} as tc, max(cast(value as int)) filter (aspect = 'crowd') as crowd_level,
-   {sql_ratio("cast(sum(case when aspect = 'crowd' then cast(value as int) * n end) as bigint)", "cast(sum(n) filter (aspect = 'crowd') as bigint)", 1)} as avg_level, {_list('when', 3)} as busiest, {_conf('crowd')} as crowd_confidence, {_top('crowd')} as modal_level,
+ left join (select place_id, {_top('time_of_day')} as time_of_day, {_top('season')} as season, {_list('month', 6)} as months, {_list('avoid', 99)} as avoid, {_conf('time_of_day')} as tc, max(try_cast(value as int)) filter (aspect = 'crowd') as crowd_level,
+   {sql_ratio("cast(sum(case when aspect = 'crowd' then try_cast(value as int) * n end) as bigint)", "cast(sum(n) filter (aspect = 'crowd') as bigint)", 1)} as avg_level, {_list('when', 3)} as busiest, {_conf('crowd')} as crowd_confidence, {_top('crowd')} as modal_level,
    {_top('cost')} as cost_level, {_top('amount_level')} as amount_level, {_top('opinion')} as opinion_level, {_top('fee')} as fee_type, {_conf('cost')} as cost_confidence from v_dom group by place_id) p using (place_id)
  left join (select place_id, percentile_disc(0.5) within group (order by amount_lkr desc) as median_lkr from v_norm where tag_cost and amount_lkr is not null group by place_id) using (place_id)"""
 PROFILE_COLS = ["place_id", "total_reviews", "time_based_on", "crowd_based_on", "cost_based_on", "time_of_day", "season", "months", "avoid", "time_confidence", "crowd_level", "crowd_label", "avg_level",

@@ -18,27 +18,33 @@ GRAM = 3
 
 
 def _grams(text: Column, size: int) -> Column:
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(size))))
+    """Distinct letter groups; a zero-width match per position keeps this linear in the length of the text."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    return F.array_distinct(F.when(F.length(text) >= size, found).otherwise(F.array(text)))
 
 
-def contains_join(needles: DataFrame, needle: str, hay: DataFrame, text: str) -> DataFrame:
+def contains_join(needles: DataFrame, needle: str, hay: DataFrame, text: str, long_texts: bool = False) -> DataFrame:
     """Rows of ``hay`` whose text contains the needle, ignoring case, as an equi join.
 
     If a text contains a needle, it has every letter group of it. Each needle is looked up by its rarest group
-    (three letters; one or two for shorter needles) and verified. Exact, and without comparing all pairs.
+    (three letters; one or two for shorter needles) and verified. Exact, and without comparing all pairs. With
+    ``long_texts`` rarity is judged among the needles, so that the texts are read once.
     """
     n = needles.select(needle).distinct().withColumn("_n", F.lower(needle)).filter(F.length("_n") > 0)
+    groups = n.select(needle, "_n", F.explode(F.when(F.length("_n") >= GRAM, _grams(F.col("_n"), GRAM)).otherwise(F.array("_n"))).alias("_g"))
+    sizes = [r[0] for r in groups.select(F.length("_g")).distinct().collect()]  # at most three numbers
     h = hay.withColumn("_h", F.lower(text))
-    gram = lambda c, size: _grams(F.col(c), size)
-    groups = n.select(needle, "_n", F.explode(F.when(F.length("_n") >= GRAM, gram("_n", GRAM)).otherwise(F.array("_n"))).alias("_g"))
-    wanted = groups.select("_g").distinct()
-    pieces = F.array_distinct(F.concat(gram("_h", 3), gram("_h", 2), gram("_h", 1)))
-    indexed = h.select("*", F.explode(pieces).alias("_g")).join(wanted, "_g", "left_semi")
-    df = indexed.groupBy("_g").agg(F.count("*").alias("_df"))
+    if not sizes:
+        return h.join(n, F.lit(False)).drop("_h", "_n")
+    pieces = F.array_distinct(F.concat(*[_grams(F.col("_h"), k) for k in sizes]))
+    if long_texts:
+        df = groups.groupBy("_g").agg(F.count("*").alias("_df"))
+    else:
+        df = h.select(F.explode(pieces).alias("_g")).join(groups.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count("*").alias("_df"))
     # a group that no text has rules the needle out; otherwise the least frequent one is its key
     keys = groups.join(df, "_g", "left").groupBy(needle, "_n").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)), "_g")).alias("_k"))
     keys = keys.select(needle, "_n", F.col("_k._g").alias("_g"))
+    indexed = h.select("*", F.explode(pieces).alias("_g")).join(keys.select("_g").distinct(), "_g", "left_semi")
     return indexed.join(keys, "_g").filter(F.contains("_h", F.col("_n"))).drop("_g", "_h", "_n")
 
 
@@ -231,7 +237,7 @@ def context_chunks(df: DataFrame, column: str = "context") -> DataFrame:
 
 def drop_mentions(docs: DataFrame, names: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunks that mention none of the names."""
-    hit = contains_join(names, "name", docs.select(key, "text"), "text").select(key).distinct()
+    hit = contains_join(names, "name", docs.select(key, "text"), "text", long_texts=True).select(key).distinct()
     return docs.join(hit, key, "left_anti")
 
 
@@ -243,7 +249,7 @@ def attach_chunks(docs: DataFrame, names: DataFrame) -> DataFrame:
     fwd = contains_join(names, "name", labels, "doc_place").select("doc_place", "name")
     back = contains_join(labels, "doc_place", names.select("name"), "name").select("doc_place", "name")
     by_meta = labelled.join(fwd.union(back).distinct(), "doc_place")
-    by_text = contains_join(names, "name", docs.filter("doc_place = ''"), "text").select(*by_meta.columns)
+    by_text = contains_join(names, "name", docs.filter("doc_place = ''"), "text", long_texts=True).select(*by_meta.columns)
     w = W.partitionBy("doc_id").orderBy("name")
     one = by_meta.unionByName(by_text).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn").withColumn("_d", F.md5("text"))
     v = W.partitionBy("name", "_d").orderBy("doc_id")

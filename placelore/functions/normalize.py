@@ -10,10 +10,8 @@ from placelore.functions.text import plain_quotes
 
 
 def any_match(text: Column, patterns: list[str]) -> Column:
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | text.rlike(p)
-    return hit
+    """One alternation: less generated code than a regex per pattern, and one pass over the text."""
+    return text.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def first_label(text: Column, table) -> Column:
@@ -40,7 +38,7 @@ def time_of_day(text: Column) -> Column:
     """Preferred slot that is not negated; when all are negated, the complement."""
     state = {}
     for label, patterns in R.TIME_OF_DAY:
-        pos = first_position(text, patterns)
+        pos = F.when(any_match(text, patterns), first_position(text, patterns))
         state[label] = F.when(pos.isNotNull(), F.when(negated_at(text, pos), F.lit("neg")).otherwise("pos"))
     out = None
     for label in R.TIME_PREFERENCE:
@@ -134,9 +132,7 @@ def opinion_level(text: Column) -> Column:
 def fee_type(text: Column) -> Column:
     out = None
     for label, words in R.FEE_WORDS:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(text, F.lit(w))
+        hit = text.rlike("|".join(words))
         out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
     return out
 

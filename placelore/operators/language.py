@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placelore.session import pin
+
 # Default profiles: common function words per language. Pass others to change or add languages.
 PROFILES = {
     "de": "der die das und ist nicht ein eine zu den mit von auf für sich dem des im wir war sind auch es an als".split(),
@@ -29,15 +31,19 @@ def detect(df: DataFrame, text: str = "text", profiles: dict[str, list[str]] | N
     short = F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) < MIN_CHARS
     at = F.array_position("_hits", best).cast("int") - 1
     names = F.array(*[F.lit(x) for x in langs])
-    return (df.withColumn("_low", F.lower(F.col(text))).withColumn("_hits", hits)
+    return (pin(pin(df, _low=F.lower(F.col(text))), _hits=hits)
             .withColumn("lang_detected", F.when(short, "en").when(best == 0, "unknown").otherwise(F.get(names, at)))
             .withColumn("lang_confidence", F.when(short, 1.0).when(best == 0, 0.0).otherwise(best / total))
             .drop("_low", "_hits"))
 
 
+def is_english(min_confidence: float = 0.7) -> Column:
+    return (F.col("lang_detected") == "en") & (F.col("lang_confidence") >= min_confidence)
+
+
 def keep_english(df: DataFrame, min_confidence: float = 0.7) -> DataFrame:
-    return df.filter((F.col("lang_detected") == "en") & (F.col("lang_confidence") >= min_confidence))
+    return df.filter(is_english(min_confidence))
 
 
 def rejected(df: DataFrame, min_confidence: float = 0.7) -> DataFrame:
-    return df.filter((F.col("lang_detected") != "en") | (F.col("lang_confidence") < min_confidence))
+    return df.filter(~is_english(min_confidence))

@@ -14,29 +14,45 @@ from placelore.functions import normalize as N
 from placelore.functions import rules as R
 from placelore.functions import text as X
 from placelore.functions.numbers import ratio
+from placelore.session import durable, pin
 
 TAG = {"best_time": "tag_best_time", "crowd_level": "tag_crowd", "cost_level": "tag_cost"}
 VALUE = {"best_time": "time_of_day", "crowd_level": "crowd_level", "cost_level": "cost_level"}
 
 
-def votes(norm: DataFrame, place: str = "place_id") -> DataFrame:
-    """(place, aspect, value, n)."""
+def _cast_votes():
+    """array<struct<aspect, value>> of one normalized review."""
     def one(aspect, col, tag):
         return F.when(F.col(tag), F.array(F.struct(F.lit(aspect).alias("aspect"), F.col(col).cast("string").alias("value"))))
 
-    def many(aspect, col, tag, prefix=""):
-        return F.when(F.col(tag), F.transform(F.col(col), lambda x: F.struct(F.lit(aspect).alias("aspect"), F.concat(F.lit(prefix), x).alias("value"))))
+    def many(aspect, col, tag):
+        return F.when(F.col(tag), F.transform(F.col(col), lambda x: F.struct(F.lit(aspect).alias("aspect"), x.alias("value"))))
 
-    cast = F.flatten(F.array_compact(F.array(
+    return F.flatten(F.array_compact(F.array(
         one("time_of_day", "time_of_day", "tag_best_time"), one("season", "season", "tag_best_time"),
         many("month", "months", "tag_best_time"), many("avoid", "avoid", "tag_best_time"), one("recommend", "recommend_day", "tag_best_time"),
         one("crowd", "crowd_level", "tag_crowd"), many("when", "crowd_when", "tag_crowd"),
         one("cost", "cost_level", "tag_cost"), one("amount_level", "amount_level", "tag_cost"),
         one("opinion", "opinion_level", "tag_cost"), one("fee", "fee_type", "tag_cost"))))
+
+
+def votes(norm: DataFrame, place: str = "place_id") -> DataFrame:
+    """(place, aspect, value, n)."""
+    cast = _cast_votes()
     rows = norm.select(place, F.inline(cast)).filter("value is not null")
     return rows.groupBy(place, "aspect", "value").agg(F.count("*").alias("n"))
 
 
+def ballots(norm: DataFrame, place: str = "place_id") -> DataFrame:
+    """Votes, amounts and tag counts of a place in one pass over the reviews: (place, aspect, value, n)."""
+    flag = lambda name, col: F.when(F.col(col), F.struct(F.lit(name).alias("aspect"), F.lit("1").alias("value")))
+    more = F.array_compact(F.array(
+        F.struct(F.lit("reviews").alias("aspect"), F.lit("1").alias("value")), flag("n_time", "tag_best_time"), flag("n_crowd", "tag_crowd"), flag("n_cost", "tag_cost"),
+        F.when(F.col("tag_cost") & F.col("amount_lkr").isNotNull(), F.struct(F.lit("amount").alias("aspect"), F.col("amount_lkr").cast("string").alias("value")))))
+    rows = norm.select(place, F.inline(F.concat(_cast_votes(), more))).filter("value is not null")
+    return rows.groupBy(place, "aspect", "value").agg(F.count("*").alias("n"))
+
+
 def dominant(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Adds rn (1 = most frequent, smallest value on ties) and the total of the group."""
     w = W.partitionBy(*keys)
@@ -45,7 +61,11 @@ def dominant(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def upper_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Element n // 2 of the sorted values, read off running counts per distinct value."""
-    c = values.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    return median_of_counts(values.groupBy(*keys, value).agg(F.count("*").alias("c")), keys, value, "c")
+
+
+def median_of_counts(counts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
+    c = counts.select(*keys, value, F.col(n).alias("c"))
     w = W.partitionBy(*keys)
     run = c.withColumn("upto", F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
     return run.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*keys).agg(F.min(value).alias("median"))
@@ -53,7 +73,9 @@ def upper_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def profiles(norm: DataFrame, place: str = "place_id") -> DataFrame:
     """One flat row per place: best time, crowd and cost with confidence and what they are based on."""
-    counts = dominant(votes(norm, place), [place, "aspect"])
+    cast = durable(ballots(norm, place))  # small, and read three times below
+    special = ["reviews", "n_time", "n_crowd", "n_cost", "amount"]
+    counts = dominant(cast.filter(~F.col("aspect").isin(*special)), [place, "aspect"])
     top = lambda aspect: F.max(F.when((F.col("aspect") == aspect) & (F.col("rn") == 1), F.col("value")))
     conf = lambda aspect: F.max(F.when((F.col("aspect") == aspect) & (F.col("rn") == 1), ratio(F.col("n"), F.col("total"), 2)))
 
@@ -69,9 +91,10 @@ def profiles(norm: DataFrame, place: str = "place_id") -> DataFrame:
         ratio(F.sum(lvl * F.col("n")), F.sum(F.when(F.col("aspect") == "crowd", F.col("n"))), 1).alias("avg_level"),
         ordered("when", 3).alias("busiest"), conf("crowd").alias("crowd_confidence"), top("crowd").alias("modal_level"), top("cost").alias("cost_level"),
         top("amount_level").alias("amount_level"), top("opinion").alias("opinion_level"), top("fee").alias("fee_type"), conf("cost").alias("cost_confidence"))
-    based = norm.groupBy(place).agg(F.count("*").alias("total_reviews"), F.count_if("tag_best_time").alias("time_based_on"),
-                                    F.count_if("tag_crowd").alias("crowd_based_on"), F.count_if("tag_cost").alias("cost_based_on"))
-    median = upper_median(norm.filter("tag_cost and amount_lkr is not null"), [place], "amount_lkr").withColumnRenamed("median", "median_lkr")
+    n_of = lambda a: F.coalesce(F.sum(F.when(F.col("aspect") == a, F.col("n"))), F.lit(0))
+    based = cast.groupBy(place).agg(n_of("reviews").alias("total_reviews"), n_of("n_time").alias("time_based_on"), n_of("n_crowd").alias("crowd_based_on"), n_of("n_cost").alias("cost_based_on"))
+    amounts = cast.filter("aspect = 'amount'").select(place, F.col("value").cast("bigint").alias("amount_lkr"), "n")
+    median = median_of_counts(amounts, [place], "amount_lkr", "n").withColumnRenamed("median", "median_lkr")
     out = based.join(voted, place, "left").join(median, place, "left").withColumn("crowd_label", N.crowd_label(F.col("crowd_level")))
     # a place without a price signal has no cost profile; one without tagged time reviews has no time profile
     out = out.withColumn("median_lkr", F.when(F.col("cost_level").isNotNull(), F.col("median_lkr")))
@@ -112,7 +135,7 @@ def evidence(norm: DataFrame, profile: DataFrame, category: str, score: str = "s
     """
     value = VALUE[category]
     sents = F.filter(X.sentences(F.col("text")), lambda s: N.keyword_tag(s, category))
-    rows = norm.filter(TAG[category]).withColumn("sentence", F.try_element_at(sents, F.lit(1))).filter("sentence is not null")
+    rows = pin(norm.filter(TAG[category]), sentence=F.try_element_at(sents, F.lit(1))).filter("sentence is not null")
     dom = profile.select(place, F.col("modal_level" if category == "crowd_level" else value).alias("_dominant"))
     rows = rows.join(dom, place).withColumn("agrees", F.coalesce((F.col(value).cast("string") == F.col("_dominant")).cast("int"), F.lit(0)))
     rows = rows.withColumn("_key", F.substring(F.lower("sentence"), 1, 120))

@@ -207,11 +207,8 @@ def f1(v):
 @query("f2_english_filter", f"""
 select source, detected as lang_detected, count(*) as n, count(*) filter (detected = 'en' and conf >= 0.7) as kept from ({_LANG}) group by source, detected""")
 def f2(v):
-    d = L.detect(v.documents)
-    kept = L.keep_english(d).groupBy("source", "lang_detected").agg(F.count("*").alias("kept"))
-    dropped = L.rejected(d).groupBy("source", "lang_detected").agg(F.count("*").alias("dropped"))
-    both = kept.join(dropped, ["source", "lang_detected"], "full").na.fill(0)
-    return both.select("source", "lang_detected", (F.col("kept") + F.col("dropped")).alias("n"), "kept")
+    d = L.detect(v.documents.select("doc_id", "source", "text"))
+    return d.groupBy("source", "lang_detected").agg(F.count("*").alias("n"), F.count_if(L.is_english()).alias("kept"))
 
 
 def _tag_sql(cat: str, t: str) -> str:

@@ -263,9 +263,10 @@ def subset_options(req: DataFrame, budget: str = "budget", max_options: int = 6,
     """Subsets of the stops that fit the budget: most places first, then satisfaction. When the whole request
     fits it is the only option. Rows: (req_id, opt, label, chosen, time, satisfaction, fitted_all)."""
     b = F.col(budget)
-    near = rankings(weights)[0]
+    req = pin(req, **{f"rk{i}": r for i, r in enumerate(rankings(weights))})
+    near = F.col("rk0")
     everything = _upto(F.col("n"))
-    packs = [F.struct(F.lit(f"Max places ({name})").alias("label"), greedy_fill(r, b).alias("chosen")) for name, r in zip(RANKINGS, rankings(weights))]
+    packs = [F.struct(F.lit(f"Max places ({name})").alias("label"), greedy_fill(F.col(f"rk{i}"), b).alias("chosen")) for i, name in enumerate(RANKINGS)]
     grown = F.transform(F.slice(near, 1, seeds), lambda p: F.struct(
         F.concat(F.lit("Max pack from "), F.get("stops", p).cast("string")).alias("label"),
         greedy_fill(F.concat(F.array(p), F.array_remove(near, p)), b).alias("chosen")))
@@ -274,10 +275,11 @@ def subset_options(req: DataFrame, budget: str = "budget", max_options: int = 6,
     opts = (req.filter("n > 1").select("*", F.posexplode_outer(every).alias("strategy", "o"))
             .withColumn("chosen", F.col("o.chosen")).withColumn("label", F.col("o.label")).filter(F.size("chosen") > 0)
             .withColumn("key", F.array_sort("chosen")))
+    opts = pin(opts, route=nearest_order(F.col("chosen")))
+    opts = pin(opts, time=total_time(F.col("route")), satisfaction=F.round(pick_sum(F.col("chosen"), "sat"), 2))
+    opts = opts.select("req_id", "n", "strategy", "label", "chosen", "key", "time", "satisfaction")  # matrices stay behind
     first = W.partitionBy("req_id", "key").orderBy("strategy")
-    opts = (opts.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
-            .withColumn("satisfaction", F.round(pick_sum(F.col("chosen"), "sat"), 2)))
-    opts = pin(pin(opts, route=nearest_order(F.col("chosen"))), time=total_time(F.col("route")))
+    opts = opts.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
     rank = W.partitionBy("req_id").orderBy(F.desc(F.size("chosen")), F.desc("satisfaction"), "strategy")
     top = W.partitionBy("req_id")
     opts = opts.withColumn("max_n", F.max(F.size("chosen")).over(top)).filter((F.col("max_n") < 3) | (F.size("chosen") >= F.col("max_n") - 1))
@@ -560,7 +562,10 @@ def sampled_walks(req: DataFrame, walkers: int = 8, iterations: int = 3, budget:
                 return F.struct(F.when(ok, -F.log(u) / w).alias("key"), x.alias("x"), (acc["t"] + t + F.get("dur", x)).alias("t"))
 
             pick = F.array_min(F.filter(F.transform(acc["rem"], weigh), lambda s: s["key"].isNotNull()))
-            return F.when(pick.isNull(), acc).otherwise(F.struct(F.concat(acc["ord"], F.array(pick["x"])).alias("ord"), F.array_remove(acc["rem"], pick["x"]).alias("rem"), pick["t"].alias("t")))
+            # the one-element transform binds the draw, which is then read without being made again
+            move = lambda s: F.when(s.isNull(), acc).otherwise(
+                F.struct(F.concat(acc["ord"], F.array(s["x"])).alias("ord"), F.array_remove(acc["rem"], s["x"]).alias("rem"), s["t"].alias("t")))
+            return F.get(F.transform(F.array(pick), move), F.lit(0))
 
         walks = (pin(walks, w=F.aggregate(_upto(F.col("n")), start, step)).filter((F.size("w.rem") == 0) & (F.size("w.ord") > 1))
                  .withColumn("ord", F.col("w.ord")).withColumn("total_time", F.col("w.t")).withColumn("total_satisfaction", pick_sum(F.col("ord"), "sat"))

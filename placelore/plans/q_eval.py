@@ -20,24 +20,25 @@ def gold(v):
     return d.select("doc_id", "source", "lang", (F.col("quality") == 1).alias("truth"), (F.col("n_chars") > 1000).alias("pred"), "toxic")
 
 
-T, P = F.col("truth"), F.col("pred")
+def _tp():
+    return F.col("truth"), F.col("pred")
 
 
 @query("a18_binary_metrics", f"""select lang, tp, fp, fn, tn, p / 1e4 as precision, r / 1e4 as recall, f / 1e4 as f1, {R('tp + tn', 'tp + fp + fn + tn', 4)} as accuracy, tp + fn as support from v_met""")
 def a18(v):
-    return E.binary_metrics(E.binary_counts(gold(v), ["lang"], T, P)).select("lang", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "accuracy", "support")
+    return E.binary_metrics(E.binary_counts(gold(v), ["lang"], *_tp())).select("lang", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "accuracy", "support")
 
 
 @query("a19_macro", """with m as (select cast((2 * sum(p) + count(*)) // (2 * count(*)) as bigint) as p, cast((2 * sum(r) + count(*)) // (2 * count(*)) as bigint) as r from v_met)
 select p / 1e4 as macro_precision, r / 1e4 as macro_recall, case when p + r > 0 then ((2 * 2 * p * r + (p + r)) // (2 * (p + r))) / 1e4 else 0 end as macro_f1 from m""")
 def a19(v):
-    return E.macro(E.binary_metrics(E.binary_counts(gold(v), ["lang"], T, P)))
+    return E.macro(E.binary_metrics(E.binary_counts(gold(v), ["lang"], *_tp())))
 
 
 @query("a20_error_examples", """select doc_id, lang, error, rn from (select *, row_number() over (partition by lang, error order by doc_id) as rn from (
   select doc_id, lang, case when not truth and pred then 'FP' when truth and not pred then 'FN' end as error from v_gold) where error is not null) where rn <= 5""")
 def a20(v):
-    return E.error_examples(gold(v), ["lang"], T, P, ["doc_id"]).select("doc_id", "lang", "error", F.col("rn").cast("bigint").alias("rn"))
+    return E.error_examples(gold(v), ["lang"], *_tp(), ["doc_id"]).select("doc_id", "lang", "error", F.col("rn").cast("bigint").alias("rn"))
 
 
 def _cat(v):

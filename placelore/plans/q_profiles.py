@@ -9,6 +9,7 @@ from placelore.operators import profiles as PR
 from placelore.plans.q_text import _SENT, _tag_sql
 from placelore.plans.registry import query
 from placelore.plans.sqltext import any_match, first_label, lit
+from placelore.session import durable
 from placelore.sources import proxies
 from placelore.sources.proxies import VIEW_SQL
 
@@ -138,7 +139,8 @@ select place_id, rank, sentence, agrees, round(score, 4) as score from b where r
 for _c, _t, _v, _d in (("best_time", "tag_best_time", "time_of_day", "time_of_day"), ("crowd_level", "tag_crowd", "crowd_level", "modal_level"), ("cost_level", "tag_cost", "cost_level", "cost_level")):
     @query(f"w2_evidence_{_c}", _evidence_sql(_c, _t, _v, _d))
     def w2(v, cat=_c):
-        e = PR.evidence(v.norm, v.profiles, cat)
+        n = durable(v.norm)  # read for the profile and for the evidence
+        e = PR.evidence(n, PR.profiles(n), cat)
         return e.select("place_id", F.col("rank").cast("bigint").alias("rank"), "sentence", F.col("agrees").cast("bigint").alias("agrees"), F.round("score", 4).alias("score"))
 
 

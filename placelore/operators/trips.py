@@ -578,3 +578,27 @@ def sampled_walks(req: DataFrame, walkers: int = 8, iterations: int = 3, budget:
             state = state.join(best, "req_id", "left").withColumn("ph", F.transform("ph", lambda p, c: F.when(
                 F.col("b").isNull(), p).otherwise(F.greatest(F.lit(0.01), p * (1 - decay)) + F.when(F.array_contains(used, c), F.col("b.gain")).otherwise(0.0)))).drop("b")
     return union_all(found).drop("gain")
+
+
+# -- the whole plan ------------------------------------------------------------------------------------------------
+
+def plan(req: DataFrame, trips: DataFrame, budget: str = "budget", days: int = 3, hours: float = 8, options: int = 3, top: int = 5,
+         weights: dict = WEIGHTS) -> DataFrame:
+    """Subsets that fit, candidate routes and variants of each, front-first ranking, and the day split of the best.
+
+    Rows: (req_id, rank, route_key, in_front, preference_score, total_time, day_plan).
+    """
+    from placelore.session import durable
+
+    opts = subset_options(req, budget, options, weights).select("req_id", "chosen")
+    base = pin(req.join(opts, "req_id"), nn=nearest_order(F.col("chosen")))
+    pool = F.array_distinct(F.concat(F.array("nn"), variants(F.col("nn"))))
+    routes = route_metrics(base.withColumn("ord", F.explode_outer(pool))).filter(F.col("total_time") <= F.col(budget))
+    key = F.array_join(F.transform("ord", lambda x: F.lpad(x.cast("string"), 2, "0")), ">")
+    routes = routes.select("req_id", key.alias("route_key"), F.array_sort(F.transform("ord", lambda i: F.get("stops", i))).alias("set"), "total_time", "total_distance",
+                           "total_cost", "total_satisfaction", "n_places", day_split(F.col("ord"), F.lit(days), F.lit(hours)).alias("day_plan"))
+    routes = durable(routes.dropDuplicates(["req_id", "route_key"]))
+    index, long_trips = history_index(trips)
+    scored = durable(routes.join(history_similarity(routes.select("set").distinct(), index, long_trips), "set").drop("set"))
+    ranked = rank_routes(scored, weights, min_results=top)
+    return ranked.filter(F.col("rank") <= top).select("req_id", "rank", "route_key", "in_front", "preference_score", "total_time", "day_plan")

@@ -362,3 +362,28 @@ select grp, name, max(score) as score, max_by(o_orderkey, score) as o_orderkey f
 def w7(v):
     x = v.table("orders").select((F.col("o_custkey") % 97).alias("grp"), F.col("o_orderpriority").alias("name"), "o_orderkey", F.col("o_totalprice").alias("score"))
     return x.groupBy("grp", "name").agg(F.max("score").alias("score"), F.max_by("o_orderkey", "score").alias("o_orderkey"))
+
+
+@query("p11_full_plan")
+def p11(v):
+    p = P.plan(v.requests, v.trips)
+    day = F.transform("day_plan", lambda d: F.array_join(F.transform(d["places"], lambda x: x.cast("string")), ">"))
+    return p.select("req_id", F.col("rank").cast("bigint").alias("rank"), "route_key", "in_front", F.round("preference_score", 6).alias("score"),
+                    (F.col("total_time") / P.MICRO).alias("time_min"), F.array_join(day, " | ").alias("days"))
+
+
+@query("p9_method_report")
+def p9(v):
+    """Planned routes, baselines and the true best order per request, and the gain over the best baseline."""
+    from placelore.session import durable
+
+    req = v.requests
+    best = P.best_orders(req, 7, "budget").select("req_id", F.lit("true best").alias("method"), F.col("total_time").alias("t"))
+    nn = pin(req, a=P.nearest_order(P._upto(F.col("n"))))
+    nn = pin(nn, b=P.two_opt(F.col("a")))
+    base = nn.select("req_id", "budget", F.inline(F.array(F.struct(F.lit("nearest").alias("method"), P.total_time(F.col("a")).alias("t")),
+                                                          F.struct(F.lit("nearest + 2-opt").alias("method"), P.total_time(F.col("b")).alias("t")))))
+    rows = durable(best.unionByName(base.filter("t <= budget").select("req_id", "method", "t")))
+    low = rows.filter("method <> 'true best'").groupBy("req_id").agg(F.min("t").alias("baseline"))
+    return rows.join(low, "req_id", "left").select("req_id", "method", (F.col("t") / P.MICRO).alias("time_min"),
+                                                  F.round((F.col("baseline") - F.col("t")) / F.col("baseline") * 100, 4).alias("gain_pct"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelore.llm import decontaminate, packing, superminhash, tokenfiles
+from placelore.llm import decontaminate, langid, packing, superminhash, tokenfiles, toxicity
 from placelore.llm.common import scratch, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -29,6 +29,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_superminhash_near_duplicates, op6_benchmark_decontamination, op7_token_files)}
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).drop("languages")
+
+
+def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_superminhash_near_duplicates, op6_benchmark_decontamination, op7_token_files,
+                                   op10_subword_toxicity)}
 
 ORACLE: dict[str, str] = {}

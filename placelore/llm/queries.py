@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelore.llm import decontaminate, langid, packing, superminhash, tokenfiles, toxicity
+from placelore.llm import decontaminate, langid, packing, superminhash, tokenfiles, topk, toxicity, viterbi, warc
 from placelore.llm.common import scratch, table
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,19 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_superminhash_near_duplicates, op6_benchmark_decontamination, op7_token_files,
-                                   op10_subword_toxicity)}
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_pages(warc.write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_superminhash_near_duplicates, op5_exact_top_k, op6_benchmark_decontamination, op7_token_files,
+                                   op8_viterbi_token_counts, op9_warc_round_trip, op10_subword_toxicity)}
 
 ORACLE: dict[str, str] = {}

@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int
     hubs = keys.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last")).filter("hub < last")
     pairs = written(keys.join(hubs.select("bucket", "hub"), "bucket").filter("class <> hub").select("hub", "class").distinct(), "pairs")
     asked = pairs.select(F.col("class").alias("doc_id")).union(pairs.select("hub")).distinct()
-    sets = written(sets_of(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), size), "sets")
+    # the same join at every size: the ids asked for grow with the corpus, so they are never broadcast
+    sets = written(sets_of(docs.select("doc_id", "text").join(asked.hint("merge"), "doc_id", "left_semi"), size), "sets")
     a = sets.select(F.col("doc_id").alias("class"), "n", "items")
     b = sets.select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("items").alias("hub_items"))
     both = pairs.join(a, "class").join(b, "hub")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelore.llm import decontaminate, langid, packing, superminhash, tokenfiles, topk, toxicity, viterbi, warc
+from placelore.llm import decontaminate, htmltree, langid, packing, superminhash, tokenfiles, topk, toxicity, viterbi, warc
 from placelore.llm.common import scratch, table
 
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -37,6 +37,10 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_tree_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltree.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -49,7 +53,7 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(warc.write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_superminhash_near_duplicates, op5_exact_top_k, op6_benchmark_decontamination, op7_token_files,
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_superminhash_near_duplicates, op4_html_tree_main_text, op5_exact_top_k, op6_benchmark_decontamination, op7_token_files,
                                    op8_viterbi_token_counts, op9_warc_round_trip, op10_subword_toxicity)}
 
 ORACLE: dict[str, str] = {}

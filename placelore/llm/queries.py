@@ -56,4 +56,46 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_superminhash_near_duplicates, op4_html_tree_main_text, op5_exact_top_k, op6_benchmark_decontamination, op7_token_files,
                                    op8_viterbi_token_counts, op9_warc_round_trip, op10_subword_toxicity)}
 
-ORACLE: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(list_transform(generate_series(1, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i:i + 4], ' '))) as s from w where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+e as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * i >= 85 * (x.n + y.n - i)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on e.a = r.b),
+c as (select a as doc_id, min(b) as component_id from r group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join n on n.doc_id = d.doc_id join c on c.doc_id = d.doc_id"""
+
+OP5_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+           where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+      from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+t as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from t where rank <= 20"""
+
+WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+OP6_SQL = f"""
+with b as (select item_id, regexp_extract_all({LOWER}, '{WORD}') as w from benchmark),
+k as (select distinct item_id, unnest(list_transform(generate_series(1, greatest(1, len(w) - 9)), lambda i: array_to_string(w[i:i + 9], ' '))) as k from b where len(w) > 0),
+z as (select distinct k, len(string_split(k, ' ')) as size from k),
+d as (select doc_id, regexp_extract_all({LOWER}, '{WORD}') as w from documents),
+o as (select doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) as i from d cross join (select distinct size from z)),
+m as (select o.doc_id, o.i, z.size, z.k from o join z on z.size = o.size and z.k = array_to_string(o.w[o.i:o.i + o.size - 1], ' ')),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + size - 1)) as p from m) group by doc_id),
+t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items from m join k on k.k = m.k group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h on h.doc_id = d.doc_id left join t on t.doc_id = d.doc_id"""
+
+OP9_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest)
+select p.page_id, p.payload_bytes, p.payload_digest, case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+       case when first <> page_id then first end as refers_to, true as verified
+from p left join f on f.payload_digest = p.payload_digest"""
+
+ORACLE: dict[str, str] = {"op3_superminhash_near_duplicates": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op9_warc_round_trip": OP9_SQL}

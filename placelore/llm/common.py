@@ -63,14 +63,14 @@ class ChunkEncoder:
     A byte-level vocabulary never joins a black character with a blank after it, so a text can be cut before every
     single blank and around every single line end; a word vocabulary that drops white space can be cut at every blank.
     Chunks repeat within a corpus, so most are looked up. New chunks of Latin letters go straight to the vocabulary's
-    merges, a punctuation mark after them is looked up by itself, and all others take the tokenizer's whole path. A text in
+    merges, marks after them are looked up by themselves, and all others take the tokenizer's whole path. A text in
     which a cut would touch more white space is encoded whole. ``keep`` bounds the kept chunks: when it is reached,
     those not used lately are let go.
     """
 
-    MARK, ENDS, LATIN = "!", ",.;:?!", "\u0250"
+    MARK, ENDS, LATIN = "!", "!#$%&*,-./:;=?@^_|~)]}>", "\u0250"
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
@@ -78,7 +78,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_blanks = self.tokenizer.normalizer is not None
-        self.keep, self.now, self.old = keep, {}, {}
+        self.keep, self.now, self.old, self.ends = keep, {}, {}, {}
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = CharDelimiterSplit("\n")
         level = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -120,13 +120,13 @@ class ChunkEncoder:
                 self.now[c] = self.old[c]
             elif self.plain(c):
                 plain.append(c)
-            elif c[-1:] and c[-1] in self.ENDS and self.plain(c[:-1]):
-                ended.append(c)
+            elif (stem := c.rstrip(self.ENDS)) != c and self.plain(stem):
+                ended.append((c, stem, c[len(stem):]))
             elif self.regular(c):
                 other.append(c)
             else:
                 self.now[c] = None
-        stems = {c[:-1] for c in ended}.difference(self.now, plain)
+        stems = {stem for _, stem, _ in ended}.difference(self.now, plain)
         for c in stems:
             if c in self.old:
                 self.now[c] = self.old[c]
@@ -137,9 +137,11 @@ class ChunkEncoder:
             self.now.update(zip(part, self.merged(part)))
         for lo in range(0, len(other), 20_000):
             self.now.update(zip(other[lo:lo + 20_000], self.ids(other[lo:lo + 20_000])))
-        if ended:
-            end = dict(zip(self.ENDS, self.ids(list(self.ENDS))))
-            self.now.update((c, self.now[c[:-1]] + end[c[-1]]) for c in ended)
+        marks = list({mark for _, _, mark in ended}.difference(self.ends))
+        if len(self.ends) > 10_000:
+            self.ends, marks = {}, list({mark for _, _, mark in ended})
+        self.ends.update(zip(marks, self.ids(marks)))
+        self.now.update((c, self.now[stem] + self.ends[mark]) for c, stem, mark in ended)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

@@ -62,13 +62,13 @@ class ChunkEncoder:
 
     A byte-level vocabulary never joins a black character with a blank after it, so a text can be cut before every
     single blank and around every single line end; a word vocabulary that drops white space can be cut at every blank.
-    Chunks repeat within a corpus, so most are looked up. New chunks of Latin letters go straight to the vocabulary's
+    Chunks repeat within a corpus, so most are looked up. New chunks of Latin-1 letters go straight to the vocabulary's
     merges, marks after them are looked up by themselves, and all others take the tokenizer's whole path. A text in
     which a cut would touch more white space is encoded whole. ``keep`` bounds the kept chunks: when it is reached,
     those not used lately are let go.
     """
 
-    MARK, ENDS, LATIN = "!", "!#$%&*,-./:;=?@^_|~)]}>", "\u0250"
+    MARK, ENDS, LATIN = "!", "!#$%&*,-./:;=?@^_|~)]}>", "\u0100"
 
     def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,7 +101,7 @@ class ChunkEncoder:
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
     def plain(self, chunk: str) -> bool:
-        """Latin letters alone, after a blank or not."""
+        """Latin-1 letters alone, after a blank or not."""
         body = chunk[1:] if chunk[:1] == " " else chunk
         return body.isalpha() and (body.isascii() or max(body) < self.LATIN)
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from placelore.session import shared_dir
 
@@ -57,6 +58,19 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def first_of_each(rows: DataFrame, key: str, name: str, most: int) -> DataFrame:
+    """Up to ``most`` rows of each value of ``key``, those with the smallest hash of ``name``.
+
+    A value with many rows is first thinned by the hash to about twice as many, so that they do not all meet in one task.
+    ``key`` must have few values: their counts are broadcast.
+    """
+    n = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    hashed = F.xxhash64(name)
+    thin = rows.join(F.broadcast(n), key).filter(F.pmod(hashed, F.lit(1 << 30)) * F.col("_n") < F.lit((2 * most + 100) * (1 << 30)))
+    nth = F.row_number().over(W.partitionBy(key).orderBy(hashed, name))
+    return thin.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_n", "_nth")
+
+
 class ChunkEncoder:
     """Exact ids of a public tokenizer for whole texts, put together from encoded chunks that are kept.
 

@@ -13,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from placelore.llm.common import held_out, slices
+from placelore.llm.common import first_of_each, held_out, slices
 from placelore.llm.letters import Letters, trigrams
 
 BITS = 15
@@ -29,10 +28,9 @@ def learn(docs: DataFrame, max_rows: int = 1500, max_languages: int = 256) -> tu
     by a hash of the id. Counting is done by Spark; one row per language and trigram reaches the driver.
     """
     known = docs.select(F.col("doc_id").cast("long"), "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.withColumn("nth", nth).filter(F.col("nth") <= max_rows).select("doc_id", "lang").distinct()
-    if ids.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+    if known.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    ids = first_of_each(known, "lang", "doc_id", max_rows).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

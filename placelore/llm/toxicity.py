@@ -17,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from placelore.llm.common import held_out, slices
+from placelore.llm.common import first_of_each, held_out, slices
 from placelore.llm.letters import Letters, subwords
 
 LOW, HIGH, BITS, FEWEST = 3, 5, 18, 8
@@ -151,7 +150,8 @@ def train(texts: list[str | None], labels: np.ndarray, words: int = 6, dim: int
     each = np.where(y == 1, 0.5 / y.mean(), clean_cost * 0.5 / (1 - y.mean()))
     cuts = np.unique(x)
     wrong = [(each * ((x >= c) != y)).sum() for c in cuts]
-    middle = float(np.median(cuts[np.array(wrong) <= min(wrong) + 1e-9]))
+    best = int(np.argmin(wrong))
+    middle = float(cuts[best] + cuts[max(0, best - 1)]) / 2  # halfway between the lowest text called toxic and the next below
     slope = 2.0
     return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), slope, -slope * middle, words)
 
@@ -172,8 +172,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[list[str
     """Up to ``max_rows`` labelled documents of each label, first by a hash of the id; held-out ids never."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     here = known.join(docs.select(F.col("doc_id").cast("long")).filter("text is not null"), "doc_id", "left_semi")
-    nth = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = here.withColumn("nth", nth).filter(F.col("nth") <= max_rows).select("doc_id", "toxic")
+    ids = first_of_each(here, "toxic", "doc_id", max_rows)
     got = docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").toArrow()
     order = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return order.column("text").to_pylist(), order.column("toxic").to_numpy()

@@ -9,44 +9,37 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from placelore.llm import decontaminate, langid, packing, superminhash, toxicity
 from placelore.llm.common import written, table
 
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``ids`` (a null id matches a null id)."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-
-
-def drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti")
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents found toxic by a model trained on the labelled documents."""
-    found = toxicity.classify(docs, table(spark, sf_dir, "labels"))
-    return drop(docs, found.filter("predicted = 1"))
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null or empty texts and those without letters."""
-    found = langid.identify(docs)
-    return drop(docs, found.filter(F.col("lang_pred") == langid.UNKNOWN))
+    return langid.drop_unknown(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group, once if its row is repeated."""
-    found = superminhash.near_duplicates(docs)
-    return drop(docs, found.filter("not kept"))
+    """Keeps the document with the smallest doc_id of each group, once if its row is repeated.
+
+    Rows without a doc_id stay: no group can name them.
+    """
+    copies = superminhash.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    # one plan at every size: the copies grow with the corpus, so they are never broadcast
+    left = docs.join(copies.hint("merge"), "doc_id", "left_anti")
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    return left.withColumn("_nth", F.when(F.col("doc_id").isNotNull(), nth).otherwise(1)).filter("_nth = 1").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    return drop(docs, found.filter("n_hit > 0"))
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelore.llm.common import slices
+from placelore.llm.common import keep_rows, slices
 
 #: Bytes that are not of a word become blanks; A-Z become a-z.
 FOLD = bytes(32 if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -68,6 +68,21 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
+def occurrences(machines: list[tuple], text: str | None) -> tuple[int, np.ndarray | None, set[str]]:
+    """Number of words, which of them are hit (None if none is), and the ids of the items met."""
+    w, hit, names = words(text), None, set()
+    line = f" {b' '.join(w).decode('latin-1')} " if w else ""
+    for machine, keys, of in machines:
+        for end, k in machine.iter(line):
+            if hit is None:
+                hit, ends = np.zeros(len(w) + 1, np.int32), np.cumsum([len(x) + 1 for x in w])
+            last = int(np.searchsorted(ends, end))  # the word that ends before this blank
+            hit[last + 1] -= 1
+            hit[last - keys[k].count(b" ")] += 1
+            names.update(of[k])
+    return len(w), None if hit is None else np.cumsum(hit[:-1]) > 0, names
+
+
 def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_items: int = 200_000, max_windows: int = 2_000_000) -> DataFrame:
     """Per document (doc_id, text): n_words, n_hit (words inside any occurrence of a window), items (ids of the items
     met, sorted as strings) and spans (start, end) of hit passages as character positions in the original text.
@@ -83,21 +98,11 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_items: int =
         for batch in slices(batches, "text"):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                w = words(text)
-                line, hit, names = f" {b' '.join(w).decode('latin-1')} " if w else "", None, set()
-                for machine, keys, of in machines:
-                    for end, k in machine.iter(line):
-                        if hit is None:
-                            hit, ends = np.zeros(len(w) + 1, np.int32), np.cumsum([len(x) + 1 for x in w])
-                        last = int(np.searchsorted(ends, end))  # the word that ends before this blank
-                        hit[last + 1] -= 1
-                        hit[last - keys[k].count(b" ")] += 1
-                        names.update(of[k])
-                if hit is None:
-                    rows.append((doc, len(w), 0, [], []))
+                n, covered, names = occurrences(machines, text)
+                if covered is None:
+                    rows.append((doc, n, 0, [], []))
                 else:
-                    covered = np.cumsum(hit[:-1]) > 0
-                    rows.append((doc, len(w), int(covered.sum()), sorted(names), [{"start": a, "end": b} for a, b in spans(text, covered)]))
+                    rows.append((doc, n, int(covered.sum()), sorted(names), [{"start": a, "end": b} for a, b in spans(text, covered)]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()),
                                              pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
@@ -108,3 +113,16 @@ def digest(found: DataFrame) -> DataFrame:
     """The items of a document as a number and one SHA-256 of their comma-joined ids."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_items: int = 200_000, max_windows: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs``, with all columns, in which ``find`` has no hit."""
+    shared = docs.sparkSession.sparkContext.broadcast(automata(read_benchmark(benchmark, size, max_items), size, max_windows))
+    built: list = []  # in each task, when its first rows come
+
+    def judge(texts):
+        if not built:
+            built.extend((build(keys), keys, names) for keys, names in shared.value)
+        return [occurrences(built, t)[1] is None for t in texts]
+
+    return keep_rows(docs, judge)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelore.llm.common import first_of_each, held_out, slices
+from placelore.llm.common import first_of_each, held_out, keep_rows, slices
 from placelore.llm.letters import Letters, trigrams
 
 BITS = 15
@@ -151,3 +151,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages map<string,double>")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")
+
+
+def drop_unknown(docs: DataFrame, penalty: float = 3.0, most: int = 3, least_share: float = 0.02) -> DataFrame:
+    """The rows of ``docs``, with all columns, for which ``identify`` finds a language."""
+    names, table = learn(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    return keep_rows(docs, lambda texts: infer(shared.value, texts, penalty, most, least_share)[1] > 0)

@@ -179,11 +179,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int
     only if they are in none. If a doc_id stands for several texts, it is one node that has the links of all of them.
     """
     marked = written(profile(docs, size, rows, bands), "signatures")
-    reps = marked.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("class"))
+    reps = written(marked.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("class")), "representatives")  # joined as a table, so that Spark can split a set that many rows have
     classed = written(marked.join(reps, "set_key", "left").select("doc_id", "n_shingles", "class", F.when(F.col("doc_id") == F.col("class"), F.col("bands")).alias("bands")), "classes")
     keys = classed.filter("bands is not null").select("class", F.explode("bands").alias("bucket"))
-    hubs = keys.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last")).filter("hub < last")
-    pairs = written(keys.join(hubs.select("bucket", "hub"), "bucket").filter("class <> hub").select("hub", "class").distinct(), "pairs")
+    hubs = written(keys.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last")).filter("hub < last").select("bucket", "hub"), "hubs")
+    pairs = written(keys.join(hubs, "bucket").filter("class <> hub").select("hub", "class").distinct(), "pairs")
     asked = pairs.select(F.col("class").alias("doc_id")).union(pairs.select("hub")).distinct()
     # the same join at every size: the ids asked for grow with the corpus, so they are never broadcast
     sets = written(sets_of(docs.select("doc_id", "text").join(asked.hint("merge"), "doc_id", "left_semi"), size), "sets")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelore.llm.common import first_of_each, held_out, slices
+from placelore.llm.common import first_of_each, held_out, keep_rows, slices
 from placelore.llm.letters import Letters, subwords
 
 LOW, HIGH, BITS, FEWEST = 3, 5, 18, 8
@@ -197,3 +197,9 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> DataFr
     """
     model = train(*sample(docs, labels, max_rows))
     return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``classify`` would not call toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels, max_rows)))
+    return keep_rows(docs, lambda texts: scores(shared.value, texts) < 0.5)

@@ -3,6 +3,8 @@ entity decode need Python, and those run as Arrow batches."""
 
 from __future__ import annotations
 
+import re
+
 import html
 import unicodedata
 
@@ -162,3 +164,9 @@ def default_stop_words() -> list[str]:
     from pyspark.ml.feature import StopWordsRemover
 
     return StopWordsRemover.loadDefaultStopWords("english")
+
+
+def fill(template: str, values: dict[str, Column]) -> Column:
+    """The template with each {name} replaced by its column; null if one of them is null."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])

@@ -35,7 +35,7 @@ def contains_join(needles: DataFrame, needle: str, hay: DataFrame, text: str, lo
     sizes = [r[0] for r in groups.select(F.length("_g")).distinct().collect()]  # at most three numbers
     h = hay.withColumn("_h", F.lower(text))
     if not sizes:
-        return h.join(n, F.lit(False)).drop("_h", "_n")
+        return hay.limit(0).withColumn(needle, F.lit(None).cast(needles.schema[needle].dataType)).select(*hay.columns, needle)
     pieces = F.array_distinct(F.concat(*[_grams(F.col("_h"), k) for k in sizes]))
     if long_texts:
         df = groups.groupBy("_g").agg(F.count("*").alias("_df"))
@@ -44,8 +44,10 @@ def contains_join(needles: DataFrame, needle: str, hay: DataFrame, text: str, lo
     # a group that no text has rules the needle out; otherwise the least frequent one is its key
     keys = groups.join(df, "_g", "left").groupBy(needle, "_n").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)), "_g")).alias("_k"))
     keys = keys.select(needle, "_n", F.col("_k._g").alias("_g"))
-    indexed = h.select("*", F.explode(pieces).alias("_g")).join(keys.select("_g").distinct(), "_g", "left_semi")
-    return indexed.join(keys, "_g").filter(F.contains("_h", F.col("_n"))).drop("_g", "_h", "_n")
+    # only the text's digest goes with its letter groups; the text itself meets the needles it may hold, once
+    ids = h.select(F.xxhash64("_h").alias("_id"), F.explode(pieces).alias("_g")).distinct()
+    maybe = ids.join(keys, "_g").select("_id", needle, "_n").distinct()
+    return h.withColumn("_id", F.xxhash64("_h")).join(maybe, "_id").filter(F.contains("_h", F.col("_n"))).drop("_id", "_h", "_n")
 
 
 def ground(terms: DataFrame, names: DataFrame) -> DataFrame:
@@ -66,15 +68,25 @@ def resolve_prefix(terms: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def fuzzy_match(terms: DataFrame, names: DataFrame, cutoff: float = 0.65) -> DataFrame:
-    """Best name with 1 - distance/longer >= cutoff. Two such strings of seven letters or more share a letter
-    pair, shorter ones a letter, so only those are compared."""
-    def keyed(df, c, alias):
-        both = F.array_distinct(F.concat(_grams(F.col(c), 2), _grams(F.col(c), 1)))
-        return df.select(c, F.explode(both).alias("_g")) if alias == "name" else df.select(
-            c, F.explode(F.when(F.length(c) >= 7, _grams(F.col(c), 2)).otherwise(_grams(F.col(c), 1))).alias("_g"))
-
-    t, n = terms.select("term").distinct(), names.select("name").distinct()
-    pairs = keyed(t, "term", "term").join(keyed(n, "name", "name"), "_g").select("term", "name").distinct()
+    """Best name with 1 - distance/longer >= cutoff, for a cutoff above 0.
+
+    Within the cutoff the lengths differ by a factor of the cutoff at most, and k edits of the longer string's L letters
+    cut the term into k + 1 pieces of which one is kept: with k = floor((1 - cutoff) * L) and the longest L that a term
+    can meet, one piece of at least (length - k) / (k + 1) letters is in both. Terms are looked up by all letter groups
+    of that size (one letter at least), so any cutoff is exact; a high one compares less.
+    """
+    if not 0 < cutoff <= 1:
+        raise ValueError("the cutoff is to be above 0 and at most 1")
+    size = lambda c: F.length(c)
+    most = F.floor((1 - cutoff) * F.floor(size("term") / cutoff + 1e-9) + 1e-9)
+    t = terms.select("term").distinct().filter(size("term") > 0).withColumn("_s", F.greatest(F.lit(1), F.least(F.lit(4), F.ceil((size("term") - most) / (most + 1)))).cast("int"))
+    n = names.select("name").distinct().filter(size("name") > 0)
+    sizes = F.sequence(F.lit(1), F.lit(4))
+    pieces = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size(c) - k + 1)), lambda i: F.substring(F.col(c), i, k)))
+    keyed_t = t.select("term", "_s", F.explode(pieces("term", F.col("_s"))).alias("_g"))
+    keyed_n = n.select("name", F.explode(F.flatten(F.transform(sizes, lambda k: pieces("name", k)))).alias("_g"))
+    near = (size("name") >= size("term") * cutoff - 1e-9) & (size("term") >= size("name") * cutoff - 1e-9)
+    pairs = keyed_t.join(keyed_n, "_g").filter(near).select("term", "name").distinct()
     score = 1 - F.levenshtein("term", "name") / F.greatest(F.length("term"), F.length("name"))
     w = W.partitionBy("term").orderBy(F.desc("similarity"), "name")
     return pairs.withColumn("similarity", score).filter(F.col("similarity") >= cutoff).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

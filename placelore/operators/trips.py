@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from placelore.functions.text import fill
 from placelore.session import pin
 
 MICRO = 1_000_000
@@ -96,11 +97,21 @@ def shortest_paths(sources: DataFrame, roads: DataFrame, weight: str = "travel_t
 
 # -- one row per request ------------------------------------------------------------------------------------
 
+def unknown_starts(stops: DataFrame, places: DataFrame) -> DataFrame:
+    """(req_id, reason) of requests whose first stop is no listed place; ``requests`` leaves them out."""
+    first = stops.groupBy("req_id").agg(F.min_by("place_id", "pos").alias("place_id"))
+    return first.join(places.select("place_id"), "place_id", "left_anti").select("req_id", F.lit("unknown start").alias("reason"))
+
+
 def requests(stops: DataFrame, places: DataFrame, roads: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """(req_id, n, stops, dur, cost, sat, tm, dm, *keep) from (req_id, place_id, pos, *keep)."""
-    facts = places.select("place_id", "duration_min", "cost", "satisfaction")
-    item = F.struct("pos", "place_id", "duration_min", "cost", "satisfaction")
-    rows = (stops.join(facts, "place_id").groupBy("req_id", *keep).agg(F.array_sort(F.collect_list(item)).alias("s"))
+    """(req_id, n, stops, dur, cost, sat, tm, dm, *keep) from (req_id, place_id, pos, *keep).
+
+    Stops that are no listed place are left out; a request that would lose its start is not made, see unknown_starts.
+    """
+    facts = places.select("place_id", "duration_min", "cost", "satisfaction", F.lit(True).alias("known"))
+    item = F.struct("pos", "place_id", "duration_min", "cost", "satisfaction", "known")
+    rows = (stops.join(facts, "place_id", "left").groupBy("req_id", *keep).agg(F.array_sort(F.collect_list(item)).alias("s"))
+            .filter(F.get("s", F.lit(0))["known"]).withColumn("s", F.filter("s", lambda x: x["known"]))
             .select("req_id", *keep, F.size("s").alias("n"), F.transform("s", lambda x: x["place_id"]).alias("stops"),
                     F.transform("s", lambda x: (x["duration_min"] * MICRO).cast("bigint")).alias("dur"),
                     F.transform("s", lambda x: x["cost"]).alias("cost"), F.transform("s", lambda x: x["satisfaction"]).alias("sat")))
@@ -157,6 +168,11 @@ def nearest_order(rem: Column, matrix: str = "tm") -> Column:
     return F.aggregate(rem, F.array(F.lit(0)), step)
 
 
+def route_key(order: Column) -> Column:
+    """The stops' numbers, two digits at least, in order."""
+    return F.array_join(F.transform(order, lambda x: F.format_string("%02d", x)), ">")
+
+
 def two_opt(order: Column, matrix: str = "tm", max_passes: int = 20) -> Column:
     """First improving segment reversal per pass, start fixed, until none improves."""
     n = F.size(order)
@@ -184,11 +200,11 @@ def two_opt(order: Column, matrix: str = "tm", max_passes: int = 20) -> Column:
     return F.when(n < 4, order).otherwise(F.aggregate(passes, start, one_pass).getField("r"))
 
 
-def all_orders(req: DataFrame, max_stops: int = 7, budget: str | None = None, carry: list[str] = ()) -> DataFrame:
+def all_orders(req: DataFrame, max_stops: int = 8, budget: str | None = None, carry: list[str] = ()) -> DataFrame:
     """Every feasible order of requests with at most ``max_stops`` stops after the start, grown stop by stop.
 
     Rows never leave their task; a partial route over the budget or without an edge is dropped at once, which is
-    exact because times only grow.
+    exact because times only grow. ``code`` writes the order as digits to the base ``max_stops + 1``.
     """
     base = req.filter(F.col("n") - 1 <= max_stops).select(
         "req_id", *carry, "n", "dur", "tm", "dm", F.array(F.lit(0)).alias("ord"), _upto(F.col("n")).alias("rem"),
@@ -200,7 +216,7 @@ def all_orders(req: DataFrame, max_stops: int = 7, budget: str | None = None, ca
         base = grown.withColumns({
             "t": F.when(more, F.col("t") + leg("tm", cur, F.col("nxt")) + F.get("dur", F.col("nxt"))).otherwise(F.col("t")),
             "d": F.when(more, F.col("d") + leg("dm", cur, F.col("nxt"))).otherwise(F.col("d")),
-            "code": F.when(more, F.col("code") * 8 + F.col("nxt")).otherwise(F.col("code")),
+            "code": F.when(more, F.col("code") * (max_stops + 1) + F.col("nxt")).otherwise(F.col("code")),
             "ord": F.when(more, F.concat("ord", F.array("nxt"))).otherwise(F.col("ord")),
             "rem": F.when(more, F.array_remove("rem", F.col("nxt"))).otherwise(F.col("rem"))}).drop("nxt").filter("t is not null")
         if budget:
@@ -208,17 +224,25 @@ def all_orders(req: DataFrame, max_stops: int = 7, budget: str | None = None, ca
     return base.drop("rem", "tm", "dm", "dur")
 
 
-def best_orders(req: DataFrame, max_stops: int = 7, budget: str | None = None) -> DataFrame:
-    """Least total time per request, and the first such order: both ride in one whole number, so that the
-    aggregate is a plain minimum that combines in each task."""
-    shift = 8 ** 7
+def best_orders(req: DataFrame, max_stops: int = 8, budget: str | None = None) -> DataFrame:
+    """Least total time per request, and the first such order: (req_id, n_feasible, total_time, ord, method).
+
+    Up to ``max_stops`` stops after the start all orders are tried (method ``exact``; no row if none is feasible): time and
+    order ride in one whole number, so that the aggregate is a plain minimum that combines in each task. Longer requests
+    get the nearest-neighbour order (method ``greedy``, n_feasible null), whether or not it is within the budget.
+    """
+    base = max_stops + 1
+    shift = base ** max_stops
     orders = all_orders(req, max_stops, budget).select("req_id", "n", (F.col("t") * shift + F.col("code")).alias("packed"))
     best = orders.groupBy("req_id", "n").agg(F.min("packed").alias("packed"), F.count("*").alias("n_feasible"))
     code = F.pmod(F.col("packed"), F.lit(shift))
     digits = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))),
-                         lambda k: F.pmod(F.floor(code / F.pow(F.lit(8.0), F.col("n") - 1 - k)), F.lit(8)).cast("int"))
+                         lambda k: F.pmod(F.floor(code / F.pow(F.lit(float(base)), F.col("n") - 1 - k)), F.lit(base)).cast("int"))
     order = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), digits))
-    return best.select("req_id", "n_feasible", F.floor(F.col("packed") / shift).alias("total_time"), order.alias("ord"))
+    exact = best.select("req_id", "n_feasible", F.expr(f"packed div {shift}").alias("total_time"), order.alias("ord"), F.lit("exact").alias("method"))
+    longer = pin(req.filter(F.col("n") - 1 > max_stops), near=nearest_order(_upto(F.col("n"))))
+    greedy = longer.select("req_id", F.lit(None).cast("bigint").alias("n_feasible"), total_time(F.col("near")).alias("total_time"), F.col("near").alias("ord"), F.lit("greedy").alias("method"))
+    return exact.unionByName(greedy.filter("total_time is not null"))
 
 
 # -- subsets under a budget ------------------------------------------------------------------------------------
@@ -240,6 +264,7 @@ def greedy_fill(ranked: Column, budget: Column) -> Column:
     return F.aggregate(ranked, start, again).getField("sel")
 
 
+# Labels of the ranking strategies.
 RANKINGS = ["closest first", "shortest visits", "near + short", "satisfaction density", "your priorities", "satisfaction", "lowest cost"]
 
 
@@ -500,17 +525,19 @@ def detailed_scores(routes: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
         + 0.10 * F.col("s_distance") + 0.05 * F.col("s_weather") + 0.05 * F.col("s_stay"))
 
 
-def explain_route(top_weight: str, df_cols: dict[str, Column]) -> Column:
-    """Sentences by rule: emphasis, totals, efficiency, weather."""
-    emphasis = {"attraction": "High weight on attraction: places with stronger visitor satisfaction are preferred.",
-                "time": "High weight on travel time: long road legs are kept few.",
-                "budget": "High weight on budget: lower-cost attractions are favoured.",
-                "popular": "High weight on popular routes: the order follows past tourist sequences."}[top_weight]
-    c = df_cols
-    return F.concat_ws(" ", F.concat(F.lit("This route visits "), c["n_places"].cast("string"), F.lit(" places.")), F.lit(emphasis),
-                       F.concat(F.lit("Total estimated time is "), c["hours"].cast("string"), F.lit(" hours covering about "), c["km"].cast("string"), F.lit(" km.")),
-                       F.when(c["efficiency"] >= 0.6, "Travel time is reasonably efficient.").when(c["efficiency"] < 0.4, "Note: some legs are long."),
-                       F.when(c["weather"] < 1.0, "Weather caution.").otherwise("No severe weather warnings."))
+ROUTE_NOTES = {"goal": "ranked by {weight}", "size": "{places} stops, {hours} h, {km} km", "roads_good": "little time on the road", "roads_poor": "much time on the road",
+               "weather_bad": "bad weather at: {bad}", "weather_good": "weather fine"}
+
+
+def explain_route(top_weight: str, df_cols: dict[str, Column], notes: dict[str, str] = ROUTE_NOTES) -> Column:
+    """Notes on a route, joined by semicolons: what it is ranked by, its size, share of road time, weather.
+
+    ``df_cols``: places, hours, km, efficiency (time on site by all time), bad (names of places with bad weather, empty
+    if there are none). ``notes`` are templates, so texts of one's own need no code.
+    """
+    c = df_cols | {"weight": F.lit(top_weight)}
+    return F.concat_ws("; ", fill(notes["goal"], c), fill(notes["size"], c), F.when(c["efficiency"] >= 0.6, fill(notes["roads_good"], c)).when(c["efficiency"] < 0.4, fill(notes["roads_poor"], c)),
+                       F.when(F.coalesce(c["bad"], F.lit("")) != "", fill(notes["weather_bad"], c)).otherwise(fill(notes["weather_good"], c)))
 
 
 def day_label(labels: Column) -> Column:
@@ -582,11 +609,12 @@ def sampled_walks(req: DataFrame, walkers: int = 8, iterations: int = 3, budget:
 
 # -- the whole plan ------------------------------------------------------------------------------------------------
 
-def plan(req: DataFrame, trips: DataFrame, budget: str = "budget", days: int = 3, hours: float = 8, options: int = 3, top: int = 5,
+def plan(req: DataFrame, trips: DataFrame, budget: str = "budget", days: int = 3, hours: float = 8, options: int = 5, top: int = 5,
          weights: dict = WEIGHTS) -> DataFrame:
     """Subsets that fit, candidate routes and variants of each, front-first ranking, and the day split of the best.
 
-    Rows: (req_id, rank, route_key, in_front, preference_score, total_time, day_plan).
+    Rows: (req_id, rank, route_key, in_front, preference_score, total_time, day_plan, reason). A request without any
+    route has one row with the reason: a single stop, or nothing that fits the budget.
     """
     from placelore.session import durable
 
@@ -594,11 +622,14 @@ def plan(req: DataFrame, trips: DataFrame, budget: str = "budget", days: int = 3
     base = pin(req.join(opts, "req_id"), nn=nearest_order(F.col("chosen")))
     pool = F.array_distinct(F.concat(F.array("nn"), variants(F.col("nn"))))
     routes = route_metrics(base.withColumn("ord", F.explode_outer(pool))).filter(F.col("total_time") <= F.col(budget))
-    key = F.array_join(F.transform("ord", lambda x: F.lpad(x.cast("string"), 2, "0")), ">")
+    key = route_key(F.col("ord"))
     routes = routes.select("req_id", key.alias("route_key"), F.array_sort(F.transform("ord", lambda i: F.get("stops", i))).alias("set"), "total_time", "total_distance",
                            "total_cost", "total_satisfaction", "n_places", day_split(F.col("ord"), F.lit(days), F.lit(hours)).alias("day_plan"))
     routes = durable(routes.dropDuplicates(["req_id", "route_key"]))
     index, long_trips = history_index(trips)
     scored = durable(routes.join(history_similarity(routes.select("set").distinct(), index, long_trips), "set").drop("set"))
     ranked = rank_routes(scored, weights, min_results=top)
-    return ranked.filter(F.col("rank") <= top).select("req_id", "rank", "route_key", "in_front", "preference_score", "total_time", "day_plan")
+    planned = ranked.filter(F.col("rank") <= top).select("req_id", "rank", "route_key", "in_front", "preference_score", "total_time", "day_plan", F.lit(None).cast("string").alias("reason"))
+    without = req.select("req_id", "n").join(scored.select("req_id").distinct(), "req_id", "left_anti")
+    why = F.when(F.col("n") == 1, "single stop").otherwise("nothing fits the budget")
+    return planned.unionByName(without.select("req_id", why.alias("reason")), allowMissingColumns=True)

@@ -136,10 +136,9 @@ def t24(v):
                         FX.season_text(arr("months"), F.col("season"), F.col("time_of_day")).alias("season_text"))
 
 
-@query("t28_travel_tips", f"""select place_id, array_to_string(list_filter([case when time_of_day is not null then 'Aim to arrive in the ' || lower({_title('time_of_day')}) || '.' end, case when avoid <> '' then 'Reviewers suggest avoiding ' || lower(avoid) || '.' end,
- case when months <> '' then replace(months, ',', ', ') || ' came up most often.' end, case when crowd_label in ('BUSY', 'PACKED') then 'Expect company.' end,
- case when cost_level = 'FREE' and coalesce(median_lkr, 0) = 0 then 'No entry fee was reported.' when median_lkr > 0 then 'Budget around ' || median_lkr || ' LKR per person.' end,
- 'Allow about ' || {_DUR} || ' on site.'], lambda x: x is not null)[1:5], ' ') as tips from v_match""")
+@query("t28_travel_tips", f"""select place_id, array_to_string(list_filter([case when time_of_day is not null then 'go in the ' || lower({_title('time_of_day')}) end, case when avoid <> '' then 'skip ' || lower(avoid) end,
+ case when months <> '' then 'in season: ' || replace(months, ',', ', ') end, case when crowd_label in ('BUSY', 'PACKED') then 'often crowded' end,
+ case when cost_level = 'FREE' and coalesce(median_lkr, 0) = 0 then 'no fee' when median_lkr > 0 then median_lkr || ' LKR each' end, {_DUR} || ' on site'], lambda x: x is not null)[1:5], ' ') as tips from v_match""")
 def t28(v):
     u = v.ugc.withColumns({"months": arr("months"), "avoid": arr("avoid")})
     return u.select("place_id", F.array_join(FX.tips(cols(u)), " ").alias("tips"))
@@ -255,14 +254,6 @@ def t26(v):
     return g.select("req_id", "day", P.day_label(F.col("l")).alias("summary"), F.concat(prev, F.lit(" → "), F.get("l", F.lit(0))).alias("connected_from"))
 
 
-@query("t27_route_explanation", """select s.req_id, concat_ws(' ', 'This route visits ' || count(*) || ' places.', 'High weight on attraction: places with stronger visitor satisfaction are preferred.', 'Total estimated time is ' || cast(sum(s.dur) // 60000000 as bigint) || ' hours covering about ' || count(*) * 40 || ' km.',
- case when count(*) >= 6 then 'Travel time is reasonably efficient.' when count(*) < 4 then 'Note: some legs are long.' end, 'No severe weather warnings.') as explanation from v_stops s group by s.req_id""")
-def t27(v):
-    n = F.col("n")
-    c = {"n_places": n, "hours": F.floor(P.pick_sum(F.sequence(F.lit(0), n - 1), "dur") / 60000000), "km": n * 40, "efficiency": n / 10, "weather": F.lit(1.0)}
-    return v.requests.select("req_id", P.explain_route("attraction", c).alias("explanation"))
-
-
 # -- weather -------------------------------------------------------------------------------------------------
 _MAIN = ["Clear", "Clouds", "Rain", "Mist", "Thunderstorm"]
 VIEW_SQL["v_forecast"] = f"select event_id as slot_id, user_id as place_id, ts, cast(ts as date) as date, case when event_type = 'error' then 'Squall' else ({lit_list(_MAIN)})[1 + event_id % 5] end as main, case when event_id % 13 = 0 then 'Heavy Rain shower' else 'calm' end as description, value as temp from events"
@@ -292,6 +283,23 @@ def j24(v):
     return WX.wide_grid(_grid(v), 4)
 
 
+@query("t27_route_explanation", """
+with ok as (select s.req_id, count(*) as n, sum(s.dur) as visit, cast(sum(s.dur + coalesce(l.t, 0)) as bigint) as t, cast(sum(coalesce(l.d, 0)) as bigint) as d
+  from v_stops s left join v_legs l on l.req_id = s.req_id and l.j = s.i and l.i = s.i - 1 group by s.req_id having bool_and(s.i = 0 or l.t is not null)),
+ bad as (select s.req_id, string_agg(p.place_name, ', ' order by s.i) as names from v_stops s join v_daily w on w.place_id = s.place_id and w.date = date '2024-01-15' and w.is_bad join v_places p on p.place_id = s.place_id group by s.req_id)
+select req_id, concat_ws('; ', 'ranked by attraction', n || ' stops, ' || t // 60000000 || ' h, ' || d // 1000000 || ' km', case when visit / t >= 0.6 then 'little time on the road' when visit / t < 0.4 then 'much time on the road' end,
+ coalesce('bad weather at: ' || names, 'weather fine')) as explanation from ok left join bad using (req_id)""")
+def t27(v):
+    routes = P.route_metrics(v.requests.withColumn("ord", F.sequence(F.lit(0), F.col("n") - 1))).select("req_id", "total_time", "total_distance", "n_places")
+    stops = v.requests.select("req_id", F.aggregate("dur", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("visit"), "stops")
+    bad = WX.daily(slots(v)).filter("date = date '2024-01-15' and is_bad").select("place_id")
+    named = stops.select("req_id", F.posexplode("stops").alias("pos", "place_id")).join(bad, "place_id").join(v.places.select("place_id", "place_name"), "place_id")
+    names = named.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("pos", "place_name"))).alias("s")).select("req_id", F.array_join(F.transform("s", lambda x: x["place_name"]), ", ").alias("bad"))
+    r = routes.join(stops.drop("stops"), "req_id").join(names, "req_id", "left")
+    c = {"places": F.col("n_places"), "hours": F.floor(F.col("total_time") / (60 * P.MICRO)), "km": F.floor(F.col("total_distance") / P.MICRO), "efficiency": F.col("visit") / F.col("total_time"), "bad": F.col("bad")}
+    return r.select("req_id", P.explain_route("attraction", c).alias("explanation"))
+
+
 @query("f11_weather_filter", "select place_id, count(*) filter (is_bad) as bad_days from v_grid group by place_id having place_id = 7 or not (count(*) filter (is_bad) = 4 or count(*) filter (is_bad) >= 3)")
 def f11(v):
     return WX.kept_places(_grid(v), 4, F.lit(7))

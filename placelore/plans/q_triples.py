@@ -89,40 +89,29 @@ def j3(v):
 
 
 @query("a16_term_frequency", """
-select kind, lower(term) as term, count(distinct place_id) as df,
-       round(count(distinct place_id) * 100 / (select count(distinct place_id) from v_pop q where q.kind = v_pop.kind), 6) as freq_pct
-from v_pop where pct >= 3 group by kind, lower(term)""")
+with p as (select * from v_pop where review_count * 100.0e0 / total_reviews >= 10 and review_count >= 5), n as (select kind, count(distinct place_id) as n from p group by kind)
+select kind, lower(term) as term, count(distinct place_id) as df, round(count(distinct place_id) * 100 / any_value(n), 6) as freq_pct from p join n using (kind) group by kind, lower(term)""")
 def a16(v):
-    every = v.pop.select("kind", "place_id").distinct().groupBy("kind").agg(F.count("*").alias("n"))
-    shown = T.term_frequency(v.pop.filter("pct >= 3")).select("kind", "term", "df")
-    return shown.join(every, "kind").select("kind", "term", "df", F.round(F.col("df") * 100 / F.col("n"), 6).alias("freq_pct"))
+    return T.term_frequency(T.popular(v.pop)).select("kind", "term", "df", F.round("freq_pct", 6).alias("freq_pct"))
 
 
 @query("m16_dynamic_threshold", """
-with f as (select lower(term) as term, max(f) as f from (
-       select kind, term, count(distinct place_id) * 100e0 / (select count(distinct place_id) from v_pop q where q.kind = v_pop.kind) as f
-       from v_pop where pct >= 4 group by kind, term) group by lower(term)),
+with p as (select * from v_pop where review_count * 100.0e0 / total_reviews >= 10 and review_count >= 5), n as (select kind, count(distinct place_id) as n from p group by kind),
+ f as (select term, max(f) as f from (select lower(term) as term, count(distinct place_id) * 100 / any_value(n) as f from p join n using (kind) group by kind, lower(term)) group by term),
  w as (select qid, lower(activity) as term from v_questions union all select qid, lower(feature) from v_questions),
  r as (select qid, least(min(coalesce(f, 0)), 100) as m from w left join f on w.term = f.term group by qid)
-select qid, round(m, 6) as min_freq,
-  round(case when m >= 30 then 20 when m <= 5 then 0 else pow((m - 5) / 25, 2) * 20 end, 6) as threshold from r""")
+select qid, round(m, 6) as min_freq, case when m >= 30 then 20 when m <= 5 then 0 else round(pow((m - 5) / 25, 2) * 20, 2) end as threshold from r""")
 def m16(v):
-    n = v.pop.groupBy("kind").agg(F.countDistinct("place_id").alias("n"))
-    df = v.pop.filter("pct >= 4").groupBy("kind", F.lower("term").alias("term")).agg(F.countDistinct("place_id").alias("df"))
-    freq = df.join(n, "kind").withColumn("freq_pct", F.col("df") * 100 / F.col("n"))
     wanted = v.questions.select("qid", F.explode(F.array("activity", "feature")).alias("term"))
-    m = T.query_thresholds(wanted, freq)
-    exact = F.when(F.col("min_freq") >= 30, 20.0).when(F.col("min_freq") <= 5, 0.0).otherwise(F.pow((F.col("min_freq") - 5) / 25, F.lit(2)) * 20)
-    return m.select("qid", F.round("min_freq", 6).alias("min_freq"), F.round(exact, 6).alias("threshold"))
+    return T.query_thresholds(wanted, T.term_frequency(T.popular(v.pop))).select("qid", F.round("min_freq", 6).alias("min_freq"), "threshold")
 
 
 @query("j14_similar_places", """
-with t as (select distinct place_id, term from v_pop where kind = 'feature' and pct >= 4)
+with t as (select distinct place_id, term from v_pop where kind = 'feature' and review_count * 100.0e0 / total_reviews >= 10 and review_count >= 5)
 select a.place_id as place_a, b.place_id as place_b, count(*) as n_shared, string_agg(a.term, '|' order by a.term) as shared
-from t a join t b on a.term = b.term and a.place_id < b.place_id group by 1, 2 having count(*) >= 10""")
+from t a join t b on a.term = b.term and a.place_id < b.place_id group by 1, 2 having count(*) >= 3""")
 def j14(v):
-    strong = v.pop.filter("kind = 'feature' and pct >= 4").select("place_id", "term")
-    return T.similar_places(strong, min_shared=10)
+    return T.similar_places(T.popular(v.pop).filter("kind = 'feature'").select("place_id", "term"))
 
 
 @query("a39_extraction_report", """

@@ -131,17 +131,19 @@ def p1(v):
     return P.route_metrics(r).select("req_id", F.array_join(F.transform("ord", lambda x: x.cast("string")), ">").alias("route"))
 
 
-@query("p2_best_order", """
-with recursive stp as materialized (select * from v_stops where n <= 8), lg as materialized (select * from v_legs),
- g as (select req_id, n, 1 as k, 0::bigint as cur, [0::bigint] as ord, dur as t from stp where i = 0
+@query("p2_best_order", f"""
+with recursive {_NN.format(w='t')},
+ g as (select req_id, n, 1 as k, 0::bigint as cur, [0::bigint] as ord, dur as t from stp where i = 0 and n <= 9
    union all select g.req_id, g.n, g.k + 1, l.j, list_append(g.ord, l.j), g.t + l.t + s.dur from g join lg l on l.req_id = g.req_id and l.i = g.cur
      join stp s on s.req_id = g.req_id and s.i = l.j join v_budget b on b.req_id = g.req_id
      where not list_contains(g.ord, l.j) and g.t + l.t + s.dur <= b.budget),
- f as (select * from g where k = n and (n > 1 or t <= (select budget from v_budget b where b.req_id = g.req_id)))
-select req_id, count(*) as n_feasible, min(t) / 1e6 as total_time_min, arg_min(array_to_string(ord, '>'), (t, array_to_string(ord, '>'))) as route from f group by req_id""")
+ f as (select * from g where k = n and (n > 1 or t <= (select budget from v_budget b where b.req_id = g.req_id))),
+ m as {_METRICS.format(keys='req_id', src="(select req_id, ord from full_nn where n > 9)")}
+select req_id, 'exact' as method, count(*) as n_feasible, min(t) / 1e6 as total_time_min, arg_min(array_to_string(ord, '>'), (t, array_to_string(ord, '>'))) as route from f group by req_id
+union all select req_id, 'greedy', null, total_time / 1e6, array_to_string(ord, '>') from m""")
 def p2(v):
-    b = P.best_orders(v.requests.filter("n > 1 or dur[0] <= budget"), 7, "budget")
-    return b.select("req_id", "n_feasible", (F.col("total_time") / P.MICRO).alias("total_time_min"), F.array_join(F.transform("ord", lambda x: x.cast("string")), ">").alias("route"))
+    b = P.best_orders(v.requests.filter("n > 1 or dur[0] <= budget"), budget="budget")
+    return b.select("req_id", "method", "n_feasible", (F.col("total_time") / P.MICRO).alias("total_time_min"), F.array_join(F.transform("ord", lambda x: x.cast("string")), ">").alias("route"))
 
 
 _SCORE = """0.75e0 * (0.25e0 * {s} + 0.15e0 * {c} + 0.25e0 * {t} + 0.15e0 * {h} + 0.10e0 * {d}) + 0.25e0 * {p}"""
@@ -160,23 +162,28 @@ def _score_sql(part, sim="similarity"):
 
 @query("w6_rank_among_orders", f"""
 with recursive {_NN.format(w='t')},
- g as (select req_id, n, 1 as k, 0::bigint as cur, 0::bigint as code, [0::bigint] as ord, dur as total_time, 0::bigint as total_distance from stp where i = 0 and n <= 8
-   union all select g.req_id, g.n, g.k + 1, l.j, g.code * 8 + l.j, list_append(g.ord, l.j), g.total_time + l.t + s.dur, g.total_distance + l.d from g join lg l on l.req_id = g.req_id and l.i = g.cur
+ g as (select req_id, n, 1 as k, 0::bigint as cur, [0::bigint] as ord, dur as total_time, 0::bigint as total_distance from stp where i = 0 and n <= 9
+   union all select g.req_id, g.n, g.k + 1, l.j, list_append(g.ord, l.j), g.total_time + l.t + s.dur, g.total_distance + l.d from g join lg l on l.req_id = g.req_id and l.i = g.cur
      join stp s on s.req_id = g.req_id and s.i = l.j where not list_contains(g.ord, l.j)),
  f as (select *, round(0.75e0 * (0.55e0 + 0.25e0 * {_mm('total_time', False, 'req_id')} + 0.10e0 * {_mm('total_distance', False, 'req_id')}) + 0.25e0, 9) as score from g where k = n),
  mine as (select f.req_id, f.score from f join full_nn using (req_id, ord))
-select f.req_id, count(*) as n_orders, 1 + count(*) filter (f.score > mine.score) as rank, max(f.score) = any_value(mine.score) as top1,
-  round(greatest(0, (max(f.score) - any_value(mine.score)) / max(f.score)) * 100, 4) as gap_pct from f join mine on f.req_id = mine.req_id group by f.req_id""")
+select f.req_id, 'exact' as method, count(*) as n_orders, 1 + count(*) filter (f.score > mine.score) as rank, max(f.score) = any_value(mine.score) as top1,
+  round(greatest(0, (max(f.score) - any_value(mine.score)) / max(f.score)) * 100, 4) as gap_pct from f join mine on f.req_id = mine.req_id group by f.req_id
+union all select req_id, 'greedy', null, null, null, null from full_nn where n > 9""")
 def w6(v):
-    req = pin(v.requests, nn=P.nearest_order(P._upto(F.col("n")))).withColumn("nn_code", F.aggregate(F.slice("nn", 2, 16), F.lit(0).cast("bigint"), lambda a, x: a * 8 + x))
-    orders = P.all_orders(req, 7, carry=["nn_code"])
+    req = pin(v.requests, nn=P.nearest_order(P._upto(F.col("n"))))
+    short = req.filter("n <= 9").withColumn("nn_code", F.aggregate(F.slice("nn", 2, 8), F.lit(0).cast("bigint"), lambda a, x: a * 9 + x))
+    orders = P.all_orders(short, 8, carry=["nn_code"])
     w = W.partitionBy("req_id")
     s = lambda c: P.scaled(F.col(c), F.min(c).over(w), F.max(c).over(w), False)
     scored = orders.select("req_id", "code", "nn_code", F.round(0.75 * (0.55 + 0.25 * s("t") + 0.10 * s("d")) + 0.25, 9).alias("score"))
     scored = scored.withColumn("mine", F.max(F.when(F.col("code") == F.col("nn_code"), F.col("score"))).over(w)).filter("mine is not null")
-    return scored.groupBy("req_id").agg(F.count("*").alias("n_orders"), (1 + F.count_if(F.col("score") > F.col("mine"))).alias("rank"),
-                                        (F.max("score") == F.max("mine")).alias("top1"),
-                                        F.round(F.greatest(F.lit(0.0), (F.max("score") - F.max("mine")) / F.max("score")) * 100, 4).alias("gap_pct"))
+    exact = scored.groupBy("req_id").agg(F.count("*").alias("n_orders"), (1 + F.count_if(F.col("score") > F.col("mine"))).alias("rank"),
+                                         (F.max("score") == F.max("mine")).alias("top1"),
+                                         F.round(F.greatest(F.lit(0.0), (F.max("score") - F.max("mine")) / F.max("score")) * 100, 4).alias("gap_pct"))
+    # over nine places the greedy route itself is the answer; it is not ranked among orders that were not made
+    greedy = req.filter(F.col("n") > 9).filter(P.total_time(F.col("nn")).isNotNull()).select("req_id", F.lit("greedy").alias("method"))
+    return exact.withColumn("method", F.lit("exact")).unionByName(greedy, allowMissingColumns=True)
 
 
 @query("m20_history_similarity", """
@@ -206,18 +213,6 @@ def w4(v):
                     (F.col("x.time") / P.MICRO).alias("time_min"), (F.col("x.distance") / P.MICRO).alias("distance_km"), F.col("x.within").alias("within_limit"))
 
 
-def _scored_candidates(v):
-    from placelore.session import durable
-
-    c = P.candidates(v.requests)
-    ids = F.transform("ord", lambda i: F.get("stops", i))
-    c = c.withColumn("set", F.array_sort(ids)).withColumn("route_key", F.array_join(F.transform("ord", lambda x: F.lpad(x.cast("string"), 2, "0")), ">"))
-    c = durable(c.select("req_id", "route_key", "ord", "set", "total_time", "total_distance", "total_cost", "total_satisfaction", "n_places"))
-    index, long_trips = P.history_index(v.trips)
-    sim = P.history_similarity(c.select("set").distinct(), index, long_trips)
-    return durable(c.join(sim, "set").drop("set"))
-
-
 # candidate pool over the nearest-neighbour route only: the route, its reversals of 2..4 stops, its prefixes
 _POOL = f"""{_NN.format(w='t')},
  cut as (select req_id, ord, n, unnest(generate_series(1, n - 2)) as i from full_nn where n >= 3),
@@ -243,7 +238,7 @@ def _nn_pool(v):
     pool = F.array_distinct(F.concat(F.array("nn"), P.variants(F.col("nn")), P.prefixes(F.col("nn"))))
     c = P.route_metrics(base.withColumn("ord", F.explode_outer(pool)))
     ids = F.transform("ord", lambda i: F.get("stops", i))
-    c = durable(c.select("req_id", F.array_join(F.transform("ord", lambda x: F.lpad(x.cast("string"), 2, "0")), ">").alias("route_key"), "ord", F.array_sort(ids).alias("set"),
+    c = durable(c.select("req_id", P.route_key(F.col("ord")).alias("route_key"), "ord", F.array_sort(ids).alias("set"),
                          "total_time", "total_distance", "total_cost", "total_satisfaction", "n_places"))
     index, long_trips = P.history_index(v.trips)
     return c.join(P.history_similarity(c.select("set").distinct(), index, long_trips), "set").drop("set")
@@ -369,7 +364,7 @@ def p11(v):
     p = P.plan(v.requests, v.trips)
     day = F.transform("day_plan", lambda d: F.array_join(F.transform(d["places"], lambda x: x.cast("string")), ">"))
     return p.select("req_id", F.col("rank").cast("bigint").alias("rank"), "route_key", "in_front", F.round("preference_score", 6).alias("score"),
-                    (F.col("total_time") / P.MICRO).alias("time_min"), F.array_join(day, " | ").alias("days"))
+                    (F.col("total_time") / P.MICRO).alias("time_min"), F.array_join(day, " | ").alias("days"), "reason")
 
 
 @query("p9_method_report")
@@ -378,12 +373,12 @@ def p9(v):
     from placelore.session import durable
 
     req = v.requests
-    best = P.best_orders(req, 7, "budget").select("req_id", F.lit("true best").alias("method"), F.col("total_time").alias("t"))
+    best = P.best_orders(req, budget="budget").select("req_id", F.when(F.col("method") == "exact", "true best").otherwise("greedy best").alias("method"), F.col("total_time").alias("t"))
     nn = pin(req, a=P.nearest_order(P._upto(F.col("n"))))
     nn = pin(nn, b=P.two_opt(F.col("a")))
     base = nn.select("req_id", "budget", F.inline(F.array(F.struct(F.lit("nearest").alias("method"), P.total_time(F.col("a")).alias("t")),
                                                           F.struct(F.lit("nearest + 2-opt").alias("method"), P.total_time(F.col("b")).alias("t")))))
     rows = durable(best.unionByName(base.filter("t <= budget").select("req_id", "method", "t")))
-    low = rows.filter("method <> 'true best'").groupBy("req_id").agg(F.min("t").alias("baseline"))
+    low = rows.filter("method not in ('true best', 'greedy best')").groupBy("req_id").agg(F.min("t").alias("baseline"))
     return rows.join(low, "req_id", "left").select("req_id", "method", (F.col("t") / P.MICRO).alias("time_min"),
                                                   F.round((F.col("baseline") - F.col("t")) / F.col("baseline") * 100, 4).alias("gain_pct"))

@@ -19,7 +19,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -28,9 +28,12 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set."""
+    """The shared folder named by the cluster. A temporary one stands in only where none is set and all tasks run in
+    this process; elsewhere other machines could not read it, so a missing setting is an error."""
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(CHECKPOINT_KEY, configured)
     return configured

@@ -117,3 +117,49 @@ def test_language(spark):
 
 def test_emoji_class_matches_python():
     assert re.sub("\U0001F600", "", "a\U0001F600") == "a"
+
+
+def test_fuzzy_match_is_exact_for_any_cutoff(spark):
+    import random
+
+    from placelore.operators import graphq as G
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 12)))
+    names = sorted({word() for _ in range(60)})
+    terms = sorted({word() for _ in range(25)} | {"abcd", "xyz"})
+    tdf, ndf = spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(n,) for n in names], "name string")
+    for cutoff in (0.2, 0.4, 0.65, 0.9, 1.0):
+        want = {}
+        for t in terms:
+            ok = sorted((-(1 - distance(t, n) / max(len(t), len(n))), n) for n in names)
+            if -ok[0][0] >= cutoff:
+                want[t] = ok[0][1]
+        assert {r.term: r.name for r in G.fuzzy_match(tdf, ndf, cutoff).collect()} == want
+
+
+def test_merge_leaves_names_without_a_key_apart(spark):
+    from placelore.operators import explore as X
+
+    p = spark.createDataFrame([("சிகிரியா", "a", 1.0, 1.0), ("දඹුල්ල", "b", 2.0, 2.0), ("Ella Rock", "c", 3.0, 3.0), ("ella-rock", "d", 4.0, 4.0)], "name string, category string, lat double, lon double")
+    u = spark.createDataFrame([("யாழ்", "MORNING", 1), ("මාතර", "EVENING", 2), ("ELLA ROCK", "NOON", 3)], "place_name string, time_of_day string, total_reviews int")
+    w = spark.createDataFrame([("க", "1", "2", "x", "t"), ("Ella Rock", "1", "2", "x", "t")], "poi_name string, latitude string, longitude string, wiki_category string, rag_text string")
+    got = sorted((r.name, r.time_of_day or "", r.rag_text or "") for r in X.merge_places(p, u, w, {}).collect())
+    assert got == sorted([("சிகிரியா", "", ""), ("දඹුල්ල", "", ""), ("Ella Rock", "NOON", "t"), ("யாழ்", "MORNING", ""), ("මාතර", "EVENING", "")])
+
+
+def test_notes_are_templates(spark):
+    from pyspark.sql import functions as F
+
+    from placelore.functions.text import fill
+
+    row = spark.range(1).select(fill("{id} of {x}{y}", {"id": F.col("id"), "x": F.lit("a"), "y": F.lit(2.5)}).alias("t"), fill("{id} {n}", {"id": F.col("id"), "n": F.lit(None)}).alias("n")).first()
+    assert row.t == "0 of a2.5" and row.n is None

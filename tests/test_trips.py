@@ -149,3 +149,19 @@ def test_walks_are_feasible_and_repeatable(world):
         stops = world["reqs"][r.req_id]
         assert sorted(r.ord) == list(range(len(stops)))
         assert time_of(world, [stops[i] for i in r.ord]) <= 500
+
+
+def test_long_requests_and_unknown_starts(spark):
+    n = 102
+    places = spark.createDataFrame([(i, 10, 1.0, 1.0) for i in range(n)], "place_id bigint, duration_min int, cost double, satisfaction double")
+    roads = spark.createDataFrame([(a, b, 1.0, float(1 + abs(a - b))) for a in range(n) for b in range(n) if a != b], "a bigint, b bigint, distance_km double, travel_time_min double")
+    sizes = {1: 9, 2: 10, 3: 12, 4: 101}
+    stops = [(r, i, i + 1) for r, k in sizes.items() for i in range(k)] + [(5, 999, 1), (5, 1, 2), (5, 2, 3), (6, 3, 1), (6, 999, 2), (6, 4, 3)]
+    st = spark.createDataFrame(stops, "req_id bigint, place_id bigint, pos int")
+    req = P.requests(st, places, roads)
+    got = {r.req_id: r for r in P.best_orders(req).collect()}
+    assert {r: got[r].method for r in got} == {1: "exact", 2: "greedy", 3: "greedy", 4: "greedy", 6: "exact"}
+    assert got[1].n_feasible == 40320 and all(got[r].ord == list(range(k)) for r, k in sizes.items())
+    assert [tuple(r) for r in P.unknown_starts(st, places).collect()] == [(5, "unknown start")]
+    keys = req.filter("req_id = 4").select(P.route_key(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).first().k
+    assert keys.endswith("98>99>100") and keys.startswith("00>01>")

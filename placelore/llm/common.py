@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 
 from placelore.session import shared_dir
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +93,7 @@ class ChunkEncoder:
 
     MARK, ENDS, LATIN = "!", "!#$%&*,-./:;=?@^_|~)]}>", "\u0100"
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit

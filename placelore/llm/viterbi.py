@@ -32,7 +32,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 class Counter:
     """Counts the pieces of whole texts. Words repeat, so their counts are kept; ``keep`` bounds how many."""
 
-    def __init__(self, pieces: list[tuple[str, float]], keep: int = 400_000):
+    def __init__(self, pieces: list[tuple[str, float]], keep: int = 300_000):
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece:

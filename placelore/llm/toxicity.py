@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelore.llm.common import first_of_each, held_out, keep_rows, slices
+from placelore.llm.common import SLICE_BYTES, first_of_each, held_out, keep_rows, slices
 from placelore.llm.letters import Letters, subwords
 
 LOW, HIGH, BITS, FEWEST = 3, 5, 18, 8
@@ -65,14 +65,12 @@ def features(texts: list[str | None], labels: np.ndarray, words: int, most: int,
 
     All passages of toxic documents up to ``most`` in all, and as many of the others; a larger number is thinned evenly.
     """
-    plan = []
-    for i, t in enumerate(texts):
-        plan.append(len((t or "").split()) / words)
-    plan = np.array(plan)
+    plan = np.array([((t or "").count(" ") + 1) / words for t in texts])
     keep = np.where(labels == 1, min(1.0, most / max(1.0, plan[labels == 1].sum())), min(1.0, most / max(1.0, plan[labels == 0].sum())))
     hashes, shares, sizes, owners = [], [], [], []
-    for lo in range(0, len(texts), 200):
-        letters = Letters(texts[lo:lo + 200])
+    cut = np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in texts]) // SLICE_BYTES)) + 1  # as much at a time as in scoring
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)]):
+        letters = Letters(texts[lo:hi])
         if not len(letters.doc):
             continue
         h, at = subwords(letters, LOW, HIGH, BITS)

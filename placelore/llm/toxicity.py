@@ -86,8 +86,8 @@ def features(texts: list[str | None], labels: np.ndarray, words: int, most: int,
     return join(hashes), join(shares), join(sizes), join(owners)
 
 
-def train(texts: list[str | None], labels: np.ndarray, words: int = 6, dim: int = 8, rounds: int = 6, steps: int = 4000, batch: int = 256, rate: float = 3.0,
-          least: int = 20, most: int = 120_000, clean_cost: float = 4.0, seed: int = 7) -> Model:
+def train(texts: list[str | None], labels: np.ndarray, words: int = 6, dim: int = 8, rounds: int = 10, steps: int = 4000, batch: int = 256, rate: float = 12.0,
+          least: int = 20, most: int = 120_000, clean_cost: float = 6.0, seed: int = 7) -> Model:
     """Fit on labelled texts; ``clean_cost`` says how many missed toxic documents weigh as much as one clean document
     found toxic, when the curve is placed. One class alone gives a model that scores all texts by its share."""
     if not len(labels) or labels.min() == labels.max():

@@ -169,7 +169,6 @@ def s8(v):
 
     n = v.norm
     count = lambda name, df: df.groupBy(F.col("place_id").cast("string").alias("place_id")).agg(F.count("*").alias("n")).select(F.lit(name).alias("tbl"), "place_id", "n")
-    doc = sinks.stats_document(PR.tag_report(n))
-    places = F.from_json("doc", "per_place array<struct<place_id:string>>")["per_place"]
+    lines = sinks.stats_lines(PR.tag_report(n)).filter(F.get_json_object("doc", "$.place_id") != "(all)")
     return (count("all", n).unionByName(count("crowd_level", sinks.category_tables(n)["crowd_level"]))
-            .unionByName(doc.select(F.explode(places).alias("p")).agg(F.count("*").alias("n")).select(F.lit("stats").alias("tbl"), F.lit("(all)").alias("place_id"), "n")))
+            .unionByName(lines.agg(F.count("*").alias("n")).select(F.lit("stats").alias("tbl"), F.lit("(all)").alias("place_id"), "n")))

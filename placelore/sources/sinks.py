@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placelore.operators.profiles import TAG
+from placelore.session import broadcast_if_small
 
 
 def write_triples(triples: DataFrame, path: str) -> None:
@@ -15,9 +16,14 @@ def write_triples(triples: DataFrame, path: str) -> None:
     triples.write.mode("overwrite").parquet(f"{path}/parquet")
 
 
-def write_by_place(df: DataFrame, path: str, place: str = "place_key", rows_per_file: int = 1_000_000) -> None:
-    """One folder per place. Rows are spread by a hash inside each place, so a big place is many files."""
-    salted = df.repartition(F.col(place), F.pmod(F.xxhash64(*[c for c in df.columns if c != place]), F.lit(8)))
+def write_by_place(df: DataFrame, path: str, place: str = "place_key", rows_per_file: int = 1_000_000, key: list[str] | None = None) -> None:
+    """One folder per place. A place's rows are spread over as many tasks as it has files, by a hash of ``key`` (all other
+    columns but maps, if not given); rows without a place go to the folder of the null value."""
+    key = key or [c for c, kind in df.dtypes if c != place and "map<" not in kind]
+    sizes = df.groupBy(place).agg(F.count("*").alias("_n"))
+    sized = df.join(broadcast_if_small(sizes).withColumnRenamed(place, "_place"), F.col(place).eqNullSafe(F.col("_place"))).drop("_place")
+    salt = F.pmod(F.xxhash64(*key) if key else F.lit(0), F.ceil(F.col("_n") / rows_per_file))
+    salted = sized.repartition(F.col(place), salt).drop("_n")
     salted.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(place).json(path)
 
 
@@ -27,14 +33,6 @@ def category_tables(tagged: DataFrame) -> dict[str, DataFrame]:
     return tables | {k: tagged.filter(t) for k, t in TAG.items()}
 
 
-def write_categories(tagged: DataFrame, path: str) -> None:
-    for name, df in category_tables(tagged).items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def stats_document(report: DataFrame, place: str = "place_id") -> DataFrame:
-    """{summary, per_place} as JSON text from a report with a total row; one entry per place (a small dimension)."""
-    row = F.struct(*report.columns)
-    total = F.col(place) == "(all)"
-    one = report.agg(F.max(F.when(total, F.to_json(row))).alias("summary"), F.array_sort(F.collect_list(F.when(~total, row))).alias("per_place"))
-    return one.select(F.to_json(F.struct(F.from_json("summary", report.schema).alias("summary"), "per_place")).alias("doc"))
+def stats_lines(report: DataFrame, place: str = "place_id") -> DataFrame:
+    """(place, doc): the report as JSON lines, one per place and one, named (all), for the summary."""
+    return report.select(place, F.to_json(F.struct(*report.columns)).alias("doc"))

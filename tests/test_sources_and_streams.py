@@ -32,6 +32,10 @@ def test_write_by_place_and_triples(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "place_key string, x int")
     sinks.write_by_place(df, str(tmp_path / "o"))
     assert spark.read.json(str(tmp_path / "o")).groupBy("place_key").count().orderBy("place_key").collect()[0]["count"] == 2
+    hot = spark.range(1000).selectExpr("case when id < 900 then 'hot' when id < 950 then null else cast(id as string) end as place_key", "id as x", "map('a', id) as m")
+    sinks.write_by_place(hot, str(tmp_path / "hot"), rows_per_file=100)
+    assert len(list((tmp_path / "hot" / "place_key=hot").glob("*.json"))) >= 9
+    assert sorted(r.x for r in spark.read.json(str(tmp_path / "hot")).collect()) == list(range(1000))
     sinks.write_triples(df, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t" / "parquet")).count() == 3
 

@@ -69,11 +69,6 @@ def clean_text(text: Column) -> Column:
     return normalize_whitespace(reduce_punctuation(nfkd(decoded)))
 
 
-def clean_text_jvm(text: Column) -> Column:
-    """``clean_text`` for text known to hold neither entities nor composed characters to fold."""
-    return normalize_whitespace(reduce_punctuation(remove_urls(remove_emojis(F.coalesce(text, F.lit(""))))))
-
-
 def flat_text(text: Column) -> Column:
     """Entities decoded and all white space collapsed to single blanks."""
     return strip(F.regexp_replace(decode_entities(F.coalesce(text, F.lit(""))), r"\s+", " "))
@@ -159,13 +154,6 @@ def safe_float(value: Column, default: float = 0.0) -> Column:
                       F.lit(default))
 
 
-def default_stop_words() -> list[str]:
-    """Spark's own English list."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def fill(template: str, values: dict[str, Column]) -> Column:
     """The template with each {name} replaced by its column; null if one of them is null."""
     parts = re.split(r"\{(\w+)\}", template)

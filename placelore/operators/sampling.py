@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from placelore.session import broadcast_if_small
+
 
 def draw(seed: int, *keys) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -27,7 +29,7 @@ def borderline(scores: DataFrame, thresholds: DataFrame, below: float = 0.05, ab
     """Rows within the band around their class threshold, labelled by side."""
     s, t = F.col("score"), F.col("threshold")
     band = F.when((s >= t) & (s <= t + above), "above").when((s < t) & (s >= t - below), "below")
-    return scores.join(F.broadcast(thresholds), "category").withColumn("band", band).filter(F.col("band").isNotNull())
+    return scores.join(broadcast_if_small(thresholds), "category").withColumn("band", band).filter(F.col("band").isNotNull())
 
 
 def borderline_sample(banded: DataFrame, n: int, seed: int, key: str) -> DataFrame:

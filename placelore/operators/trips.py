@@ -393,7 +393,7 @@ def day_split(order: Column, days: Column, hours: Column) -> Column:
                                                  d["distance"].alias("distance"), (d["time"] <= limit).alias("within")))
 
 
-def history_index(trips: DataFrame, key: str = "trip_id", max_len: int = 10) -> tuple[DataFrame, DataFrame]:
+def history_index(trips: DataFrame, key: str = "trip_id", max_len: int = 10) -> tuple[DataFrame, DataFrame, int]:
     """Index of past trips for best-Jaccard lookups: smallest trip size per set of visited places.
 
     For a route R and a trip T, J = |S| / (|R| + |T| - |S|) with S = their intersection, so the best J over all
@@ -406,7 +406,7 @@ def history_index(trips: DataFrame, key: str = "trip_id", max_len: int = 10) ->
     short = sets.filter(F.size("set") <= max_len)
     index = (short.select(F.size("set").alias("len"), F.explode(subsets(F.col("set"))).alias("sub"))
              .groupBy("sub").agg(F.min("len").alias("min_len")))
-    return index, sets.filter(F.size("set") > max_len).select("set")
+    return index, sets.filter(F.size("set") > max_len).select("set"), max_len
 
 
 def subsets(items: Column) -> Column:
@@ -416,8 +416,9 @@ def subsets(items: Column) -> Column:
     return F.filter(grown, lambda s: F.size(s) > 0)
 
 
-def history_similarity(sets: DataFrame, index: DataFrame, long_trips: DataFrame, max_len: int = 10) -> DataFrame:
-    """``sets``: distinct (set) arrays of place ids, sorted. Returns (set, similarity), 0 without any overlap."""
+def history_similarity(sets: DataFrame, index: DataFrame, long_trips: DataFrame, max_len: int) -> DataFrame:
+    """``sets``: distinct (set) arrays of place ids, sorted; the rest is what ``history_index`` returns. Returns (set, similarity),
+    0 without any overlap."""
     size = F.size("set")
     short = sets.filter(size <= max_len).select("set", F.explode(subsets(F.col("set"))).alias("sub"))
     by_subset = (short.join(index, "sub").select("set", (F.size("sub") / (size + F.col("min_len") - F.size("sub"))).alias("j")))
@@ -626,8 +627,7 @@ def plan(req: DataFrame, trips: DataFrame, budget: str = "budget", days: int = 3
     routes = routes.select("req_id", key.alias("route_key"), F.array_sort(F.transform("ord", lambda i: F.get("stops", i))).alias("set"), "total_time", "total_distance",
                            "total_cost", "total_satisfaction", "n_places", day_split(F.col("ord"), F.lit(days), F.lit(hours)).alias("day_plan"))
     routes = durable(routes.dropDuplicates(["req_id", "route_key"]))
-    index, long_trips = history_index(trips)
-    scored = durable(routes.join(history_similarity(routes.select("set").distinct(), index, long_trips), "set").drop("set"))
+    scored = durable(routes.join(history_similarity(routes.select("set").distinct(), *history_index(trips)), "set").drop("set"))
     ranked = rank_routes(scored, weights, min_results=top)
     planned = ranked.filter(F.col("rank") <= top).select("req_id", "rank", "route_key", "in_front", "preference_score", "total_time", "day_plan", F.lit(None).cast("string").alias("reason"))
     without = req.select("req_id", "n").join(scored.select("req_id").distinct(), "req_id", "left_anti")

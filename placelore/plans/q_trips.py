@@ -193,8 +193,7 @@ with t as (select trip_id, list(distinct place_id order by place_id) as s from v
 select req_id, round(coalesce(m, 0), 6) as similarity from r left join (select s, max(j) as m from j group by s) using (s)""")
 def m20(v):
     sets = v.req_stops.groupBy("req_id").agg(F.array_sort(F.collect_set("place_id")).alias("set"))
-    index, long_trips = P.history_index(v.trips)
-    sim = P.history_similarity(sets.select("set").distinct(), index, long_trips)
+    sim = P.history_similarity(sets.select("set").distinct(), *P.history_index(v.trips))
     return sets.join(sim, "set").select("req_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -240,8 +239,7 @@ def _nn_pool(v):
     ids = F.transform("ord", lambda i: F.get("stops", i))
     c = durable(c.select("req_id", P.route_key(F.col("ord")).alias("route_key"), "ord", F.array_sort(ids).alias("set"),
                          "total_time", "total_distance", "total_cost", "total_satisfaction", "n_places"))
-    index, long_trips = P.history_index(v.trips)
-    return c.join(P.history_similarity(c.select("set").distinct(), index, long_trips), "set").drop("set")
+    return c.join(P.history_similarity(c.select("set").distinct(), *P.history_index(v.trips)), "set").drop("set")
 
 
 @query("p4_route_variants", f"""

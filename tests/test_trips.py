@@ -136,8 +136,7 @@ def test_history_similarity_matches_pairs(spark):
     sets = [sorted(rng.sample(range(18), rng.randrange(1, 13))) for _ in range(30)]
     t = spark.createDataFrame([(i, p) for i, ps in trips.items() for p in ps], "trip_id int, place_id bigint")
     s = spark.createDataFrame([(x,) for x in sets], "set array<bigint>").distinct()
-    index, long_trips = P.history_index(t, max_len=6)
-    for r in P.history_similarity(s, index, long_trips, max_len=6).collect():
+    for r in P.history_similarity(s, *P.history_index(t, max_len=6)).collect():
         want = max(len(set(r.set) & set(ps)) / len(set(r.set) | set(ps)) for ps in trips.values())
         assert r.similarity == pytest.approx(want)
 

@@ -39,11 +39,14 @@ BITS = 12
 
 
 class Page:
-    """The nodes of one page in document order: parent, tag, words of class, id and role, and the text of runs."""
+    """The nodes of one page in document order: parent, tag, words of class, id and role, and the text of runs.
+
+    ``training``: whether ``data-label`` is the mark of ``labelled``; in any other page it is an ordinary attribute.
+    """
 
     __slots__ = ("parent", "tag", "names", "text", "linked", "label")
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, training: bool = False):
         self.parent, self.tag, self.names, self.text, self.linked, self.label = [-1], ["#root"], [()], [None], [0], [None]
         stack = [(0, "#root", None)]  # node of the nearest block, tag, label
         run, links, anchors = [], 0, 0
@@ -114,7 +117,7 @@ class Page:
             if "=" in m[3]:
                 found = ATTRIBUTE.findall(m[3])
                 words = tuple(w.lower() for _, a, b, c in found for w in NAME.findall(a or b or c))
-                if "data-label" in m[3]:
+                if training and "data-label" in m[3]:
                     label = int(re.search(r"data-label=.?(\d)", m[3])[1])
             node = stack[-1][0]
             if name in BLOCK:
@@ -290,7 +293,7 @@ def labelled(number: int = 800, seed: int = 11) -> list[Page]:
             parts.insert(int(rng.integers(len(parts) + 1)), noise())
         if rng.random() < 0.04:  # no element of its own: every part stands in the body
             body = "".join(x if "data-label" in x.split(">")[0] else f"<p data-label=1>{text(True)}</p>" if x[0] != "<" else re.sub(r"<(\w+)", r"<\1 data-label=1", x) for x in parts)
-            pages.append(Page(f"<html><body>{noise()}{body}{noise()}</body></html>"))
+            pages.append(Page(f"<html><body>{noise()}{body}{noise()}</body></html>", training=True))
             continue
         if opening.startswith("td"):
             body = f"<table data-label=0><tr>{region('td class=menu', 0, fill(NOISE[0]))}{region(opening, 1, ''.join(parts))}</tr></table>"
@@ -299,7 +302,7 @@ def labelled(number: int = 800, seed: int = 11) -> list[Page]:
         for _ in range(rng.integers(0, 3)):
             body = f"<div class={'wrap container outer'.split()[rng.integers(3)]}>{noise() if rng.random() < 0.4 else ''}{body}{noise() if rng.random() < 0.4 else ''}</div>"
         around = [noise() for _ in range(rng.integers(1, 5))], [noise() for _ in range(rng.integers(1, 5))]
-        pages.append(Page(f"<html><body>{''.join(around[0])}{body}{''.join(around[1])}</body></html>"))
+        pages.append(Page(f"<html><body>{''.join(around[0])}{body}{''.join(around[1])}</body></html>", training=True))
     return pages
 
 

@@ -141,6 +141,17 @@ def test_main_text(spark, tree_model):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_label_attribute_of_an_ordinary_page(spark, tree_model):
+    page = "<html><body><nav><a href=x>Home</a></nav><article{}><h1>Prices</h1><p>{}</p><table><tr><td{}>12</td><td{}>13</td></tr></table></article></body></html>"
+    text = "some longer text that stands in the article, about many things and their prices"
+    plain = page.format("", text, "", "")
+    marked = [page.format("", text, ' data-label="Amount"', " data-label"), page.format(" data-label=0", text, " data-label='1st'", ' data-label=""')]
+    rows = [(i, "u", s) for i, s in enumerate([plain, *marked])]
+    got = htmltree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), tree_model).collect()
+    assert len(got) == 3 and {r.text for r in got} == {f"Prices\n{text}\n12\n13"}
+    assert all(x is None for s in marked for x in htmltree.Page(s).label)
+
+
 def test_parser_closes_what_html_leaves_open():
     page = htmltree.Page("<p>a<div>b</p>c</div><ul><li>d<ul><li>e</ul><li>f</ul><b>g<p>h</b>i")
     assert [t for t in page.text if t] == ["a", "b", "c", "d", "e", "f", "g", "hi"]

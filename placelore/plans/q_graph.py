@@ -227,10 +227,11 @@ def t30(v):
 _DOCS = "(select qid, text from (select qid, text, row_number() over (partition by qid order by r) as rn from (select q.qid, c.text, c.turn as r from v_questions q join conversations c on c.conv_id = q.qid // 100 and c.role = 'assistant')) where rn <= 4)"
 
 
-def _docs(v):
+def _docs(v, most=5):
+    """The first answers of each question, as many as the text score divides by."""
     c = v.table("conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
     d = v.questions.select("qid", F.floor(F.col("qid") / 100).alias("conv_id")).join(c, "conv_id")
-    return d.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy("turn"))).filter("rn <= 4")
+    return d.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy("turn"))).filter(F.col("rn") <= most)
 
 
 _QUAL = f"""select qid, least(1, n_facts / 10 * avg_pct / 100) as g, least(1, n_docs / 5) as t from (select q.qid, coalesce(n_facts, 0) as n_facts, coalesce(avg_pct, 0) as avg_pct, coalesce(n_docs, 0) as n_docs from v_questions q

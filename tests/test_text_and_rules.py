@@ -163,3 +163,17 @@ def test_notes_are_templates(spark):
 
     row = spark.range(1).select(fill("{id} of {x}{y}", {"id": F.col("id"), "x": F.lit("a"), "y": F.lit(2.5)}).alias("t"), fill("{id} {n}", {"id": F.col("id"), "n": F.lit(None)}).alias("n")).first()
     assert row.t == "0 of a2.5" and row.n is None
+
+
+def test_five_answers_reach_the_context_and_its_score(spark):
+    from types import SimpleNamespace
+
+    from placelore.operators import graphq as G
+    from placelore.plans import q_graph
+
+    turns = spark.createDataFrame([(1, t, "assistant", f"answer {t}") for t in range(1, 7)] + [(1, 0, "user", "ask")], "conv_id bigint, turn int, role string, text string")
+    v = SimpleNamespace(questions=spark.createDataFrame([(100,)], "qid bigint"), table=lambda name: turns)
+    docs = q_graph._docs(v)
+    assert sorted(r.turn for r in docs.collect()) == [1, 2, 3, 4, 5]
+    facts = spark.createDataFrame([], "qid bigint, pct double")
+    assert [r.text_score for r in G.retrieval_quality(facts, docs, v.questions).collect()] == [1.0]

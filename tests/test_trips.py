@@ -164,3 +164,23 @@ def test_long_requests_and_unknown_starts(spark):
     assert [tuple(r) for r in P.unknown_starts(st, places).collect()] == [(5, "unknown start")]
     keys = req.filter("req_id = 4").select(P.route_key(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).first().k
     assert keys.endswith("98>99>100") and keys.startswith("00>01>")
+
+
+def test_past_trip_weights_on_all_edges_and_one_way(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (2, 3)], "a bigint, b bigint")
+    trips = spark.createDataFrame([(1, p, i) for i, p in enumerate([1, 2, 3, 4])] + [(2, p, i) for i, p in enumerate([4, 3, 1])], "trip_id bigint, place_id bigint, pos int")
+    weights, report = P.past_trip_weights(trips, edges)
+    assert {(r.a, r.b): r.pheromone for r in weights.collect()} == {(1, 2): 6.0, (2, 1): 1.0, (2, 3): 6.0, (3, 4): 11.0}  # 4 to 3 counts for its reverse
+    assert [tuple(r) for r in report.collect()] == [(4, 1)]
+
+
+def test_past_trip_queries_use_every_edge(spark):
+    from placelore.plans import q_trips
+    from types import SimpleNamespace
+
+    edges = spark.createDataFrame([(a, b) for a in range(6) for b in range(6) if a != b], "a bigint, b bigint")
+    trips = spark.createDataFrame([(1, p, p) for p in range(6)], "trip_id bigint, place_id bigint, pos int")
+    v = SimpleNamespace(edges=edges, trips=trips)
+    got = {(r.a, r.b): r.pheromone for r in q_trips.j16(v).collect()}
+    assert got == {(a, b): 6.0 if b == a + 1 else 1.0 for a in range(6) for b in range(6) if a != b}
+    assert [tuple(r) for r in q_trips.j16b(v).collect()] == [(5, 0)]

@@ -167,8 +167,8 @@ select f.req_id, 'exact' as method, count(*) as n_orders, 1 + count(*) filter (f
 union all select req_id, 'greedy', null, null, null, null from full_nn where n > 8""")
 def w6(v):
     req = pin(v.requests, nn=P.nearest_order(P._upto(F.col("n"))))
-    short = req.filter("n <= 8").withColumn("nn_code", F.aggregate(F.slice("nn", 2, 7), F.lit(0).cast("bigint"), lambda a, x: a * 8 + x))
-    orders = P.all_orders(short, 7, carry=["nn_code"])
+    short = req.filter("n <= 9").withColumn("nn_code", F.aggregate(F.slice("nn", 2, 8), F.lit(0).cast("bigint"), lambda a, x: a * 9 + x))
+    orders = P.all_orders(short, carry=["nn_code"])
     w = W.partitionBy("req_id")
     s = lambda c: P.scaled(F.col(c), F.min(c).over(w), F.max(c).over(w), False)
     scored = orders.select("req_id", "code", "nn_code", F.round(0.75 * (0.55 + 0.25 * s("t") + 0.10 * s("d")) + 0.25, 9).alias("score"))
@@ -176,8 +176,8 @@ def w6(v):
     exact = scored.groupBy("req_id").agg(F.count("*").alias("n_orders"), (1 + F.count_if(F.col("score") > F.col("mine"))).alias("rank"),
                                          (F.max("score") == F.max("mine")).alias("top1"),
                                          F.round(F.greatest(F.lit(0.0), (F.max("score") - F.max("mine")) / F.max("score")) * 100, 4).alias("gap_pct"))
-    # over eight places (5,040 orders) the greedy route itself is the answer; it is not ranked among orders that were not made
-    greedy = req.filter(F.col("n") > 8).filter(P.total_time(F.col("nn")).isNotNull()).select("req_id", F.lit("greedy").alias("method"))
+    # over nine places (40,320 orders) the greedy route itself is the answer; it is not ranked among orders that were not made
+    greedy = req.filter(F.col("n") > 9).filter(P.total_time(F.col("nn")).isNotNull()).select("req_id", F.lit("greedy").alias("method"))
     return exact.withColumn("method", F.lit("exact")).unionByName(greedy, allowMissingColumns=True)
 
 

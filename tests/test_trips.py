@@ -184,3 +184,23 @@ def test_past_trip_queries_use_every_edge(spark):
     got = {(r.a, r.b): r.pheromone for r in q_trips.j16(v).collect()}
     assert got == {(a, b): 6.0 if b == a + 1 else 1.0 for a in range(6) for b in range(6) if a != b}
     assert [tuple(r) for r in q_trips.j16b(v).collect()] == [(5, 0)]
+
+
+def test_nine_places_are_ranked_among_all_orders(spark):
+    from placelore.plans import q_trips
+    from types import SimpleNamespace
+
+    rng = random.Random(3)
+    n = 10
+    pl = spark.createDataFrame([(i, 30, 0.0, 1.0) for i in range(n)], "place_id bigint, duration_min int, cost double, satisfaction double")
+    edges = {(a, b): float(rng.randrange(10, 200)) for a in range(n) for b in range(n) if a != b}
+    ed = spark.createDataFrame([(a, b, w * 0.7, w) for (a, b), w in edges.items()], "a bigint, b bigint, distance_km double, travel_time_min double")
+    st = spark.createDataFrame([(r, p, p + 1) for r in (9, 10) for p in range(r)], "req_id bigint, place_id bigint, pos int")
+    got = {r.req_id: r for r in q_trips.w6(SimpleNamespace(requests=P.requests(st, pl, P.two_way(ed)))).collect()}
+    times = [sum(edges[x] for x in zip((0, *o), o)) for o in itertools.permutations(range(1, 9))]
+    route = nn({"edges": edges}, 0, range(1, 9))
+    mine = sum(edges[x] for x in zip(route, route[1:]))
+    # distance is 0.7 of the time here, so orders rank by their time
+    assert got[9].method == "exact" and got[9].n_orders == 40320 and got[9].rank == 1 + sum(t < mine - 1e-6 for t in times)
+    assert got[9].top1 == (mine <= min(times)) and got[9].gap_pct >= 0
+    assert got[10].method == "greedy" and got[10].rank is None

@@ -153,8 +153,19 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")
 
 
+def has_letters(texts: list[str | None]) -> np.ndarray:
+    out = np.zeros(len(texts), bool)
+    out[Letters(texts).doc] = True
+    return out
+
+
 def drop_unknown(docs: DataFrame, penalty: float = 3.0, most: int = 3, least_share: float = 0.02) -> DataFrame:
-    """The rows of ``docs``, with all columns, for which ``identify`` finds a language."""
+    """The rows of ``docs``, with all columns, for which ``identify`` finds a language: those whose text has letters.
+
+    If nothing could be learned, no text has a language; then every text that has letters stays.
+    """
     names, table = learn(docs)
+    if not names:
+        return keep_rows(docs, has_letters)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     return keep_rows(docs, lambda texts: infer(shared.value, texts, penalty, most, least_share)[1] > 0)

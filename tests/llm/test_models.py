@@ -43,6 +43,13 @@ def test_language_without_anything_to_learn(spark):
     assert langid.identify(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_texts_stay_where_nothing_could_be_learned(spark):
+    rows = [(1, "some text", None, 1), (2, "12 --", None, 1), (3, None, None, 1), (4, "", None, 1), (None, "more text", None, 1), (1, "some text", None, 1)]
+    kept = langid.drop_unknown(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.text for r in kept) == ["more text", "some text", "some text"]
+    assert langid.drop_unknown(spark.createDataFrame([(None, "some text", "xa", 1)], SCHEMA)).count() == 1  # the only labelled row is held out
+
+
 def test_mixture_proportions_maximise_the_likelihood():
     rng = np.random.default_rng(0)
     like = rng.random((50, 2))

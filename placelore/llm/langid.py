@@ -90,8 +90,11 @@ def mixture(like: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: in
     return share, np.add.reduceat(total, first)
 
 
-def infer(table: np.ndarray, texts: list[str | None], penalty: float, most: int, least_share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Best proportions per text (zero rows for texts without letters) and the number of languages in the chosen set."""
+def infer(table: np.ndarray, texts: list[str | None], penalty: float, most: int | None, least_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Best proportions per text (zero rows for texts without letters) and the number of languages in the chosen set.
+
+    ``most`` bounds that number (None: any number that pays for itself).
+    """
     letters = Letters(texts)
     langs = len(table)
     out, chosen = np.zeros((len(texts), langs)), np.zeros(len(texts), np.int64)
@@ -108,7 +111,7 @@ def infer(table: np.ndarray, texts: list[str | None], penalty: float, most: int,
     share = np.eye(langs)[best]
     value = single[np.arange(len(first)), best]
     size = np.ones(len(first), np.int64)
-    for k in range(2, min(most, langs) + 1):
+    for k in range(2, (langs if most is None else min(most, langs)) + 1):
         # a language with next to no words cannot pay for itself
         try_ = np.flatnonzero(full[np.arange(len(first)), order[:, k - 1]] * np.maximum(n, 1 / least_share) >= np.maximum(1, least_share * n))
         if not len(try_):
@@ -127,7 +130,7 @@ def infer(table: np.ndarray, texts: list[str | None], penalty: float, most: int,
     return out, chosen
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, penalty: float = 3.0, most: int = 3, least_share: float = 0.02) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, penalty: float = 3.0, most: int | None = None, least_share: float = 0.02) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; lang where it is to learn): doc_id, held_out, lang_pred, score (the share of
     lang_pred), languages (map of language to share in the chosen set).
 
@@ -159,7 +162,7 @@ def has_letters(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def drop_unknown(docs: DataFrame, penalty: float = 3.0, most: int = 3, least_share: float = 0.02) -> DataFrame:
+def drop_unknown(docs: DataFrame, penalty: float = 3.0, most: int | None = None, least_share: float = 0.02) -> DataFrame:
     """The rows of ``docs``, with all columns, for which ``identify`` finds a language: those whose text has letters.
 
     If nothing could be learned, no text has a language; then every text that has letters stays.

@@ -37,6 +37,16 @@ def test_language_mixture(spark, language_rows):
     assert all(0 <= r.score <= 1 for r in found) and {r.held_out for r in found} == {True, False}
 
 
+def test_mixture_of_four_languages(spark):
+    rng = random.Random(4)
+    words = LANGUAGES | {"xd": "wyx zuv qop fyg hij".split()}
+    make = lambda lang, n: " ".join("".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, make(lang, 60), lang, 1) for i, lang in enumerate(rng.choices(list(words), k=240))]
+    rows.append((1000, " ".join(make(lang, n) for lang, n in zip(words, (80, 60, 50, 40))), None, 1))
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()}[1000]
+    assert set(got.languages) == set(words) and got.lang_pred == "xa" and abs(got.score - 80 / 230) < 0.05 and abs(got.languages["xd"] - 40 / 230) < 0.05
+
+
 def test_language_without_anything_to_learn(spark):
     found = langid.identify(spark.createDataFrame([(1, "some text", None, 1)], SCHEMA)).collect()
     assert [(r.lang_pred, r.score) for r in found] == [("und", 0.0)]

@@ -7,6 +7,12 @@ expressions on the row. Times and distances are whole micro-units, so sums do no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations, permutations
+from math import factorial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -71,30 +77,47 @@ def route_arrays(stops: DataFrame, key: str) -> DataFrame:
 
 
 def shortest_paths(sources: DataFrame, roads: DataFrame, weight: str = "travel_time_min", max_rounds: int = 100) -> DataFrame:
-    """Least total weight from each source to every reachable node: (source, node, total, hops).
+    """Least total weight from each source to every reachable node: (source, node, total, prev).
 
-    Rounds of joins in which only improved nodes move on. Each round is checkpointed; it ends when nothing improves.
+    ``prev`` is the node before on the way, null at the source; of equally short ways the smallest one. Total and prev
+    are one comparable struct, so a round is a join and a minimum; only nodes with a smaller total move on, while an
+    equal total can still bring a smaller prev. Each round is checkpointed; it ends when nothing improves.
     """
     from placelore.session import durable
 
     steps = durable(roads.filter(F.col(weight) > 0).select("a", "b", F.round(F.col(weight) * MICRO).cast("bigint").alias("w")))
-    best = durable(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("hops")))
+    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(None).cast(roads.schema["a"].dataType).alias("prev"))
+    best = durable(sources.select("source", F.col("source").alias("node"), start.alias("way")).distinct())
     front = best
     for _ in range(max_rounds):
-        tried = (front.join(steps, front.node == steps.a).select("source", F.col("b").alias("node"), (F.col("total") + F.col("w")).alias("total"), (F.col("hops") + 1).alias("hops"))
-                 .groupBy("source", "node").agg(F.min(F.struct("total", "hops")).alias("t")))
-        old = best.select("source", "node", F.col("total").alias("o"), F.col("hops").alias("oh"))
-        merged = durable(tried.join(old, ["source", "node"], "full").select(
-            "source", "node", F.least(F.coalesce("t.total", "o"), F.coalesce("o", "t.total")).alias("total"),
-            F.when(F.col("o").isNull() | (F.col("t.total") < F.col("o")), F.col("t.hops")).otherwise(F.col("oh")).alias("hops"),
-            (F.col("o").isNull() | (F.col("t.total") < F.col("o"))).alias("better")))
-        best = merged.select("source", "node", "total", "hops")
-        front = merged.filter("better").select("source", "node", "total", "hops")
-        if front.limit(1).count() == 0:
-            return best.withColumn("total", F.col("total") / MICRO)
+        tried = (front.join(steps, front.node == steps.a)
+                 .select("source", F.col("b").alias("node"), F.struct((F.col("way.total") + F.col("w")).alias("total"), F.col("a").alias("prev")).alias("way"))
+                 .groupBy("source", "node").agg(F.min("way").alias("new")))
+        merged = durable(tried.join(best, ["source", "node"], "full").select(
+            "source", "node", F.least("way", "new").alias("way"), (F.col("way").isNull() | (F.col("new.total") < F.col("way.total"))).alias("better")))
+        best, front = merged.drop("better"), merged.filter("better").drop("better")
+        if front.isEmpty():
+            return best.select("source", "node", (F.col("way.total") / MICRO).alias("total"), "way.prev")
     raise RuntimeError("shortest paths did not settle")
 
 
+def shortest_routes(ways: DataFrame) -> DataFrame:
+    """``shortest_paths`` with the stops of each way: (source, node, total, path), the source first.
+
+    Pointer jumps: a piece of a way and the node before it are joined to the piece that ends there, so pieces double and
+    a way of n stops takes log2(n) joins. A path is as long as its way, so its array is bounded by the graph's diameter.
+    """
+    from placelore.session import durable
+
+    pieces = ways.select("source", "node", "total", F.array("node").alias("path"), F.col("prev").alias("before"))
+    while True:
+        ends = pieces.select("source", F.col("node").alias("before"), F.col("path").alias("head"), F.col("before").alias("further"))
+        pieces = durable(pieces.join(ends, ["source", "before"], "left").select(
+            "source", "node", "total", F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path"), F.col("further").alias("before")))
+        if pieces.filter("before is not null").isEmpty():
+            return pieces.drop("before")
+
+
 # -- one row per request ------------------------------------------------------------------------------------
 
 def unknown_starts(stops: DataFrame, places: DataFrame) -> DataFrame:
@@ -633,3 +656,92 @@ def plan(req: DataFrame, trips: DataFrame, budget: str = "budget", days: int = 3
     without = req.select("req_id", "n").join(scored.select("req_id").distinct(), "req_id", "left_anti")
     why = F.when(F.col("n") == 1, "single stop").otherwise("nothing fits the budget")
     return planned.unionByName(without.select("req_id", why.alias("reason")), allowMissingColumns=True)
+
+
+# -- rank among all orders, any length ----------------------------------------------------------------------
+
+def _subset_bounds(legs: np.ndarray, largest: bool) -> float:
+    """Least (or largest) sum of legs over all orders that start at 0, by programming over sets of visited stops."""
+    m = len(legs) - 1
+    worst = -np.inf if largest else np.inf
+    pick = np.maximum if largest else np.minimum
+    cost = np.where(np.isfinite(legs), legs, worst)
+    best = np.full((1 << m, m), worst)
+    best[1 << np.arange(m), np.arange(m)] = cost[0, 1:]
+    for seen in range(1, 1 << m):
+        row = best[seen]
+        for j in np.flatnonzero((seen >> np.arange(m)) & 1 == 0):
+            best[seen | 1 << j, j] = pick(best[seen | 1 << j, j], (pick.reduce(row + cost[1:, j + 1])))
+    return float(pick.reduce(best[-1])) if m else 0.0
+
+
+def _halves(legs: np.ndarray, below: float) -> tuple[int, int]:
+    """(orders, orders with a sum under ``below``) of all that start at 0 and use no missing leg.
+
+    Every order is cut after half of its stops. For each set of stops in the first half the sums of its orders and those
+    of the rest are sorted by the stop at the cut, and pairs are counted by search; nothing is kept from set to set.
+    """
+    m = len(legs) - 1
+    h = m // 2
+    head, tail = (np.array(list(permutations(range(k))), np.int64).reshape(factorial(k), k) for k in (h, m - h))
+    total = better = 0
+    for chosen in combinations(range(1, m + 1), h):
+        rest = np.array([x for x in range(1, m + 1) if x not in chosen])
+        first, last = np.array(chosen, np.int64)[head], rest[tail]
+        a = (legs[0, first[:, 0]] if h else np.zeros(1)) + legs[first[:, :-1], first[:, 1:]].sum(axis=1)
+        b = legs[last[:, :-1], last[:, 1:]].sum(axis=1)
+        ends, starts = (first[:, -1] if h else np.zeros(1, np.int64)), last[:, 0]
+        fronts = {v: np.sort(a[(ends == v) & np.isfinite(a)]) for v in set(ends.tolist())}
+        backs = {u: np.sort(b[(starts == u) & np.isfinite(b)]) for u in rest.tolist()}
+        for v, x in fronts.items():
+            for u, y in backs.items():
+                if np.isfinite(legs[v, u]):
+                    total += len(x) * len(y)
+                    better += int(np.searchsorted(y, below - legs[v, u] - x, side="left").sum())
+    return total, better
+
+
+def rank_in_all_orders(n: int, tm: list, dm: list, order: list, weights: tuple[float, float] = (0.1875, 0.075)) -> tuple | None:
+    """(n_orders, rank, best, mine) of one order of stops; None if one of its legs is missing.
+
+    The score is 1 less the weighted time and distance, each scaled between its least and largest value over all orders
+    (1 where they are equal). Scores within half of 1e-9 count as equal, which is what rounding to 9 digits keeps apart.
+    """
+    legs = [np.array([np.inf if x is None else x for x in values], float).reshape(n, n) for values in (tm, dm)]
+    path = [sum(x[i, j] for i, j in zip(order, order[1:])) for x in legs]
+    if not all(map(np.isfinite, path)):
+        return None
+    if n == 1:
+        return 1, 1, 1.0, 1.0
+    whole = np.where(np.isfinite(legs[0]), 0.0, np.inf)
+    short, mine = 0.0, 0.0
+    for weight, x, value in zip(weights, legs, path):
+        low, high = _subset_bounds(x, False), _subset_bounds(x, True)
+        if high > low:
+            whole = whole + weight * x / (high - low)
+            short, mine = short + weight * low / (high - low), mine + weight * value / (high - low)
+    orders, better = _halves(whole, mine - 5e-10)
+    best = _subset_bounds(whole, False)
+    return orders, 1 + better, 1 - (best - short), 1 - (mine - short)
+
+
+def rank_orders(req: DataFrame, order: str) -> DataFrame:
+    """(req_id, n_orders, rank, top1, gap_pct): the place of each request's ``order`` among all orders of its stops.
+
+    Any number of stops; time grows with the number of orders' halves, memory with those of one set of stops. Requests
+    whose order has a missing leg are left out.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                found = rank_in_all_orders(r["n"], r["tm"], r["dm"], r["ord"])
+                if found:
+                    n, rank, best, mine = found
+                    rows.append((r["req_id"], n, rank, best - mine <= 5e-10, round(max(0.0, (best - mine) / best) * 100, 4)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64()))], names=["req_id", "n_orders", "rank", "top1", "gap_pct"])
+
+    # one long request may outweigh thousands of short ones: equal lengths are dealt over all tasks
+    rows = req.select(F.col("req_id").cast("long").alias("req_id"), "n", "tm", "dm", F.col(order).alias("ord"))
+    spread = rows.repartition(F.pmod(F.xxhash64("req_id"), F.lit(4096)))
+    return spread.mapInArrow(run, "req_id long, n_orders long, rank long, top1 boolean, gap_pct double")

@@ -224,7 +224,7 @@ def t30(v):
     return G.render_facts(_facts(v))
 
 
-_DOCS = "(select qid, text from (select qid, text, row_number() over (partition by qid order by r) as rn from (select q.qid, c.text, c.turn as r from v_questions q join conversations c on c.conv_id = q.qid // 100 and c.role = 'assistant')) where rn <= 4)"
+_DOCS = "(select qid, text from (select qid, text, row_number() over (partition by qid order by r) as rn from (select q.qid, c.text, c.turn as r from v_questions q join conversations c on c.conv_id = q.qid // 100 and c.role = 'assistant')) where rn <= 5)"
 
 
 def _docs(v, most=5):
@@ -252,7 +252,7 @@ def _context(v):
 
 
 @query("t31_context_blocks", f"""
-with w as ({_QUAL}), f as (select qid, string_agg({_LINE}, chr(10) || chr(10) order by rank) as g from {VIEW_FACTS} group by qid), d as (select qid, string_agg(rn || '. ' || trim(text), chr(10) || chr(10) order by rn) as d from (select qid, text, row_number() over (partition by qid order by r) as rn from (select q.qid, c.text, c.turn as r from v_questions q join conversations c on c.conv_id = q.qid // 100 and c.role = 'assistant')) where rn <= 4 group by qid),
+with w as ({_QUAL}), f as (select qid, string_agg({_LINE}, chr(10) || chr(10) order by rank) as g from {VIEW_FACTS} group by qid), d as (select qid, string_agg(rn || '. ' || trim(text), chr(10) || chr(10) order by rn) as d from (select qid, text, row_number() over (partition by qid order by r) as rn from (select q.qid, c.text, c.turn as r from v_questions q join conversations c on c.conv_id = q.qid // 100 and c.role = 'assistant')) where rn <= 5 group by qid),
  x as (select w.qid, 'GRAPH FACTS:' || chr(10) || coalesce(f.g, 'No graph results returned.') as gt, 'REVIEW EVIDENCE:' || chr(10) || coalesce(d.d, 'No review evidence returned.') as dt, f.g is null and w.t > w.g as text_first from w left join f using (qid) left join d using (qid))
 select qid, text_first, md5(case when text_first then dt || chr(10) || chr(10) || gt else gt || chr(10) || chr(10) || dt end) as context_md5 from x""")
 def t31(v):

@@ -32,8 +32,7 @@ def _pairs_sql(source: str, threshold: float) -> str:
  p_t as (select place_key, min(review_id) as rep, count(*) as copies, any_value(text_clean) as text from {source} group by place_key, md5(text_clean)),
  p_tf as (select place_key, rep, copies, term, count(*) as tf from (
      select place_key, rep, copies, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]{{2,}}')) as term from p_t) where not list_contains({lit_list(STOP)}, term) group by all),
- p_v as (select place_key, term, df from (select place_key, term, sum(copies) as df, row_number() over (partition by place_key order by sum(tf * copies) desc, term) as rk
-     from p_tf group by place_key, term) where rk <= 5000),
+ p_v as (select place_key, term, sum(copies) as df from p_tf group by place_key, term),
  p_n as (select place_key, sum(copies) as n from p_t group by place_key),
  p_x as (select p_tf.place_key, rep, p_tf.term, tf * (ln((1 + n) / (1 + df)) + 1) as x from p_tf join p_v on p_tf.place_key = p_v.place_key and p_tf.term = p_v.term join p_n on p_n.place_key = p_tf.place_key),
  p_w as (select *, x / sqrt(sum(x * x) over (partition by rep)) as w from p_x),

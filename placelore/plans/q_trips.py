@@ -52,7 +52,7 @@ def j15(v):
 
 
 _PAIRS = """pairs as (select x.place_id as a, y.place_id as b, count(*) as n from v_trips x join v_trips y on x.trip_id = y.trip_id and y.pos = x.pos + 1 group by 1, 2),
- one_way as (select a, b from v_edges where (a + 2 * b) % 5 <> 0),
+ one_way as (select a, b from v_edges),
  hit as (select p.*, f.a is not null as fwd, r.a is not null as rev from pairs p left join one_way f on f.a = p.a and f.b = p.b left join one_way r on r.a = p.b and r.b = p.a)"""
 
 
@@ -155,16 +155,19 @@ def _score_sql(part, sim="similarity"):
                          h=_mm(sim, True, part), d=_mm("total_distance", False, part), p=_mm("n_places", True, part))
 
 
+# orders grow stop by stop; visited stops are bits and the order is a number, so that rows stay small
 @query("w6_rank_among_orders", f"""
 with recursive {_NN.format(w='t')},
- g as (select req_id, n, 1 as k, 0::bigint as cur, [0::bigint] as ord, dur as total_time, 0::bigint as total_distance from stp where i = 0 and n <= 8
-   union all select g.req_id, g.n, g.k + 1, l.j, list_append(g.ord, l.j), g.total_time + l.t + s.dur, g.total_distance + l.d from g join lg l on l.req_id = g.req_id and l.i = g.cur
-     join stp s on s.req_id = g.req_id and s.i = l.j where not list_contains(g.ord, l.j)),
- f as (select *, round(0.75e0 * (0.55e0 + 0.25e0 * {_mm('total_time', False, 'req_id')} + 0.10e0 * {_mm('total_distance', False, 'req_id')}) + 0.25e0, 9) as score from g where k = n),
- mine as (select f.req_id, f.score from f join full_nn using (req_id, ord))
-select f.req_id, 'exact' as method, count(*) as n_orders, 1 + count(*) filter (f.score > mine.score) as rank, max(f.score) = any_value(mine.score) as top1,
-  round(greatest(0, (max(f.score) - any_value(mine.score)) / max(f.score)) * 100, 4) as gap_pct from f join mine on f.req_id = mine.req_id group by f.req_id
-union all select req_id, 'greedy', null, null, null, null from full_nn where n > 8""")
+ g as (select req_id, n, 1 as k, 0::bigint as cur, 1::bigint as seen, 0::bigint as code, 0::bigint as total_time, 0::bigint as total_distance from stp where i = 0 and n <= 9
+   union all select g.req_id, g.n, g.k + 1, l.j, g.seen | (1::bigint << l.j), g.code * 10 + l.j, g.total_time + l.t, g.total_distance + l.d from g join lg l on l.req_id = g.req_id and l.i = g.cur where g.seen & (1::bigint << l.j) = 0),
+ f as materialized (select req_id, total_time, total_distance, code from g where k = n),
+ b as (select req_id, min(total_time) as lt, max(total_time) as ht, min(total_distance) as ld, max(total_distance) as hd from f group by req_id),
+ sc as (select req_id, code, round(0.75e0 * (0.55e0 + 0.25e0 * case when lt = ht then 1e0 else 1e0 - (total_time - lt) / (ht - lt) end + 0.10e0 * case when ld = hd then 1e0 else 1e0 - (total_distance - ld) / (hd - ld) end) + 0.25e0, 9) as score
+   from f join b using (req_id)),
+ mine as (select sc.req_id, sc.score from sc join (select req_id, list_reduce(ord, lambda a, x: a * 10 + x) as code from full_nn where n <= 9) using (req_id, code))
+select sc.req_id, 'exact' as method, count(*) as n_orders, 1 + count(*) filter (sc.score > mine.score) as rank, max(sc.score) = any_value(mine.score) as top1,
+  round(greatest(0, (max(sc.score) - any_value(mine.score)) / max(sc.score)) * 100, 4) as gap_pct from sc join mine on sc.req_id = mine.req_id group by sc.req_id
+union all select m.req_id, 'greedy', null, null, null, null from {_METRICS.format(keys='req_id', src="(select req_id, ord from full_nn where n > 9)")} m""")
 def w6(v):
     req = pin(v.requests, nn=P.nearest_order(P._upto(F.col("n"))))
     short = req.filter("n <= 9").withColumn("nn_code", F.aggregate(F.slice("nn", 2, 8), F.lit(0).cast("bigint"), lambda a, x: a * 9 + x))
@@ -181,6 +184,13 @@ def w6(v):
     return exact.withColumn("method", F.lit("exact")).unionByName(greedy, allowMissingColumns=True)
 
 
+@query("w6_rank_any_length")
+def w6_any(v):
+    """Requests of every length, by subset programming and halves of orders; SQL would have to list 12! orders."""
+    req = pin(v.requests, nn=P.nearest_order(P._upto(F.col("n"))))
+    return P.rank_orders(req, "nn")
+
+
 @query("m20_history_similarity", """
 with t as (select trip_id, list(distinct place_id order by place_id) as s from v_trips group by trip_id), r as (select req_id, list(distinct place_id order by place_id) as s from v_req_stops group by req_id),
  ti as (select trip_id, len(s) as n, unnest(s) as p from (select distinct on (s) trip_id, s from t)), ri as (select s, len(s) as n, unnest(s) as p from (select distinct s from r)),
@@ -324,13 +334,16 @@ def p6(v):
 
 
 @query("p7_shortest_paths", """
-with recursive src as (select min(place_id) as source from v_places group by district), e as materialized (select a, b, cast(round(travel_time_min * 1000000) as bigint) as w from v_roads),
-""" + ",\n".join(["r0 as materialized (select source, source as node, 0::bigint as total from src)"] + [
-    f"r{k} as materialized (select source, node, min(total) as total from (select * from r{k - 1} union all select source, e.b, total + w from r{k - 1} join e on e.a = node) group by source, node)" for k in range(1, 9)]) + """
-select source, node, total / 1e6 as total_min from r8""")
+with recursive e as materialized (select a, b, cast(round(travel_time_min * 1000000) as bigint) as w from v_roads),
+""" + ",\n".join(["r0 as materialized (select place_id as source, place_id as node, 0::bigint as total from v_places)"] + [
+    f"r{k} as materialized (select source, node, min(total) as total from (select * from r{k - 1} union all select source, e.b, total + w from r{k - 1} join e on e.a = node) group by source, node)" for k in range(1, 11)]) + """,
+p as materialized (select x.source, e.b as node, min(e.a) as prev from r10 x join e on e.a = x.node join r10 y on y.source = x.source and y.node = e.b where x.total + w = y.total and e.b <> x.source group by all),
+t as (select source, source as node, cast(source as varchar) as path from r10 where source = node union all select p.source, p.node, path || '>' || p.node from t join p on p.source = t.source and p.prev = t.node)
+select source, node, total / 1e6 as total_min, path from r10 join t using (source, node)""")
 def p7(v):
-    hubs = v.places.groupBy("district").agg(F.min("place_id").alias("source"))
-    return P.shortest_paths(hubs, v.roads).select("source", "node", F.col("total").alias("total_min"))
+    ways = P.shortest_paths(v.places.select(F.col("place_id").alias("source")), v.roads)
+    r = P.shortest_routes(ways)
+    return r.select("source", "node", F.col("total").alias("total_min"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query("p10_baselines")

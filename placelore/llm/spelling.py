@@ -90,7 +90,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     known = words.filter("word is not null and word <> ''").select("word").distinct()
     size = F.char_length("spelled")
-    both = known.select("word", F.lit(0).alias("side"), F.col("word").alias("spelled")).unionByName(known.select("word", F.lit(1).alias("side"), F.reverse("word").alias("spelled")))
+    both = known.select(F.lit(0).alias("side"), F.col("word").alias("spelled")).unionByName(known.select(F.lit(1).alias("side"), F.reverse("word").alias("spelled")))
     half = F.floor(size / 2).cast("int")
     both = both.select("*", size.alias("size"), level_of(F.when(F.col("side") == 0, half).otherwise(size - half)).alias("start"))
     spelled = written(both, "spelled")
@@ -102,30 +102,33 @@ def neighbours(words: DataFrame) -> DataFrame:
     piece = F.least(below(F.col("depth")), F.col("size")) - F.col("depth")
     edges = (steps.select("depth", "side", F.expr("left(spelled, depth)").alias("node"), F.substring("spelled", F.col("depth") + 1, piece).alias("label"), (F.col("depth") + piece == F.col("size")).alias("ends"))
              .groupBy("depth", "side", "node", "label").agg(F.max("ends").alias("terminal")))
-    # sorted by depth, so that the scan of a level skips the other levels
-    edges = written(edges.sortWithinPartitions("depth"), "trie")
-    state = "word string, spelled string, size int, side int, node string, shift int, edits int, done boolean"
-    none = spark.createDataFrame([], state)
-    frontier, folder = none, scratch(spark, "states")
+    trie, folder = scratch(spark, "trie"), scratch(spark, "states")
+    edges.write.partitionBy("depth").parquet(trie)
+    edges = spark.read.schema(edges.schema).parquet(trie)  # a level reads its own folder
+    state = "spelled string, side int, node string, shift int, edits int, done boolean"
+    frontier = spark.createDataFrame([], state)
     label, wide = F.col("label"), F.char_length("label")
     for depth in [p for p in at if p >= first]:
         own = spelled.filter((F.col("start") <= depth) & (F.col("size") >= depth)).select(
-            "word", "spelled", "size", "side", F.expr(f"left(spelled, {depth})").alias("node"), F.lit(0).alias("shift"), F.lit(0).alias("edits"))
+            "spelled", "side", F.expr(f"left(spelled, {depth})").alias("node"), F.lit(0).alias("shift"), F.lit(0).alias("edits"))
         states = own.unionByName(frontier.drop("done"))
         met = states.join(edges.filter(F.col("depth") == depth).drop("depth"), ["side", "node"])
         rest = lambda k: F.substring("spelled", F.lit(depth + 1) + F.col("shift"), k)
         equal = (F.col("edits") == 1) & (rest(wide) == label)
         # of two words that differ by a replaced letter the smaller one looks for the larger
         replaced = (F.col("edits") == 0) & (F.char_length(rest(wide)) == wide) & (rest(wide) < label) & (F.levenshtein(rest(wide), label, 1) == 1)
-        longer = (F.col("edits") == 0) & (F.char_length(rest(wide - 1)) == wide - 1) & (F.levenshtein(rest(wide - 1), label, 1) == 1)
+        # a letter more before an equal one is the same as one after it, where it is found as well
+        apart = rest(wide) != label if depth < SINGLE else F.lit(True)
+        longer = (F.col("edits") == 0) & apart & (F.char_length(rest(wide - 1)) == wide - 1) & (F.levenshtein(rest(wide - 1), label, 1) == 1)
         moves = F.filter(F.array(F.when(equal, F.col("shift")), F.when(replaced, F.lit(0)), F.when(longer, F.lit(-1))), lambda x: x.isNotNull())
-        moved = met.select("word", "spelled", "size", "side", F.concat("node", "label").alias("node"), F.explode(moves).alias("shift"), F.lit(1).alias("edits"), "terminal")
-        ends = F.char_length("node") + F.col("shift") == F.col("size")
-        moved = moved.select("word", "spelled", "size", "side", "node", "shift", "edits", ends.alias("done")).filter(~ends | F.col("terminal"))
+        moved = met.select("spelled", "side", F.concat("node", "label").alias("node"), F.explode(moves).alias("shift"), F.lit(1).alias("edits"), "terminal")
+        ends = F.char_length("node") + F.col("shift") == size
+        moved = moved.select("spelled", "side", "node", "shift", "edits", ends.alias("done")).filter(~ends | F.col("terminal"))
         moved.write.parquet(f"{folder}/{depth}")
         frontier = spark.read.schema(state).parquet(f"{folder}/{depth}").filter("not done")
     found = spark.read.schema(state).parquet(*[f"{folder}/{p}" for p in at if p >= first]).filter("done")
-    pairs = found.select("word", F.when(F.col("side") == 0, F.col("node")).otherwise(F.reverse("node")).alias("near"))
+    turned = lambda c: F.when(F.col("side") == 0, F.col(c)).otherwise(F.reverse(c))
+    pairs = found.select(turned("spelled").alias("word"), turned("node").alias("near"))
     return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near"))).distinct()
 
 

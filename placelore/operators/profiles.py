@@ -73,7 +73,11 @@ def median_of_counts(counts: DataFrame, keys: list[str], value: str, n: str) ->
 
 def profiles(norm: DataFrame, place: str = "place_id") -> DataFrame:
     """One flat row per place: best time, crowd and cost with confidence and what they are based on."""
-    cast = durable(ballots(norm, place))  # small, and read three times below
+    return profiles_of(durable(ballots(norm, place)), place)  # small, and read three times
+
+
+def profiles_of(cast: DataFrame, place: str = "place_id") -> DataFrame:
+    """``profiles`` from ballots that are counted already, for instance summed over the batches of a stream."""
     special = ["reviews", "n_time", "n_crowd", "n_cost", "amount"]
     counts = dominant(cast.filter(~F.col("aspect").isin(*special)), [place, "aspect"])
     top = lambda aspect: F.max(F.when((F.col("aspect") == aspect) & (F.col("rn") == 1), F.col("value")))

@@ -1,30 +1,24 @@
-"""Registered query that runs the review stream over the document files to its end."""
+"""Registered query that runs the review stream over the table's files to its end."""
 
 import uuid
 
 from pyspark.sql import functions as F
 
-from placelore.plans.q_text import _tag_sql
+from placelore.plans.q_profiles import PROFILE_COLS, _join
 from placelore.plans.registry import query
 from placelore.session import shared_dir
+from placelore.sources.proxies import notes_of
 from placelore.streaming import review_stream as RS
 
 
-@query("r1_review_stream", f"""
-select source as place_key, 'tagged' as aspect, count(*) filter ({_tag_sql('best_time', 'text')} or {_tag_sql('crowd_level', 'text')} or {_tag_sql('cost_level', 'text')}) as n from documents group by source""")
+@query("r1_review_stream", "select " + ", ".join(PROFILE_COLS) + " from v_profiles")
 def r1(v):
-    """Tag counts per place, computed by micro-batches and summed."""
-    base = f"{shared_dir(v.spark)}/review-stream-{uuid.uuid4().hex}"
-    schema = v.table("documents").schema
-    src = v.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(v.sf_dir)
-    from placelore.functions.normalize import keyword_tag
-
-    any_tag = keyword_tag(F.col("text"), "best_time") | keyword_tag(F.col("text"), "crowd_level") | keyword_tag(F.col("text"), "cost_level")
-    tagged = src.select(F.col("source").alias("place_key"), any_tag.alias("t"))
-
-    def write(batch, batch_id):
-        batch.groupBy("place_key").agg(F.count_if("t").alias("n")).withColumn("aspect", F.lit("tagged")).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-
-    q = tagged.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return v.spark.read.parquet(f"{base}/out").groupBy("place_key", "aspect").agg(F.sum("n").alias("n"))
+    """Profiles kept by the stream: cleaned, each review once, one upsert per micro-batch of a file."""
+    base = f"{shared_dir(v.spark).rstrip('/')}/review-stream-{uuid.uuid4().hex}"
+    lines = v.spark.readStream.schema(v.table("lineitem").schema).option("maxFilesPerTrigger", 1).parquet(f"{v.sf_dir}/lineitem.parquet")
+    reviews = notes_of(lines).withColumn("ts", F.col("travel_date").cast("timestamp")).withColumn("line", F.struct("review_id", "l_partkey", "l_discount", "text"))
+    # travel dates span seven years in any order, so nothing within ten is late
+    clean = RS.clean_stream(reviews, "3650 days", keys=("place_id", "line"))
+    RS.profile_stream(clean, f"{base}/out", f"{base}/checkpoint", "place_id").awaitTermination()
+    p = RS.current_profiles(v.spark, f"{base}/out")
+    return p.select(*[_join(c) if c in ("months", "avoid", "busiest") else c for c in PROFILE_COLS])

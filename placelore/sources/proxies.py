@@ -160,6 +160,22 @@ VIEW_SQL: dict[str, str] = {
 }
 
 
+def notes_of(lines: DataFrame) -> DataFrame:
+    """Reviews made of order lines, row by row: works on a table and on a stream."""
+    o, p, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    price, qty = F.col("l_extendedprice"), F.col("l_quantity").cast("bigint")
+    cost = _pick(COST_TEXTS, (p + ln) % len(COST_TEXTS))
+    for mark, value in (("{a}", F.floor(price / 100)), ("{b}", F.floor(price / 10)), ("{c}", 1 + qty)):
+        cost = F.replace(cost, F.lit(mark), value.cast("bigint").cast("string"))
+    text = F.concat(_pick(TIME_TEXTS, (o * 7 + p) % len(TIME_TEXTS)), F.lit(". "),
+                    _pick(CROWD_TEXTS, (o + ln * 5) % len(CROWD_TEXTS)), F.lit(". "), cost, F.lit(". "),
+                    _pick(ACTIVITY_TEXTS, (p * 3 + o) % len(ACTIVITY_TEXTS)), F.lit("."))
+    return lines.select(
+        (o * 100 + ln * 10 + p % 10).alias("review_id"), F.col("l_suppkey").alias("place_id"),
+        (1 + qty % 5).alias("rating"), F.col("l_shipdate").cast("date").alias("travel_date"),
+        "l_partkey", "l_discount", text.alias("text"))
+
+
 class Views:
     """Lazy DataFrames for one scale directory."""
 
@@ -187,19 +203,8 @@ class Views:
 
     @cached_property
     def notes(self) -> DataFrame:
-        o, p, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
-        price, qty = F.col("l_extendedprice"), F.col("l_quantity").cast("bigint")
-        cost = _pick(COST_TEXTS, (p + ln) % len(COST_TEXTS))
-        for mark, value in (("{a}", F.floor(price / 100)), ("{b}", F.floor(price / 10)), ("{c}", 1 + qty)):
-            cost = F.replace(cost, F.lit(mark), value.cast("bigint").cast("string"))
-        text = F.concat(_pick(TIME_TEXTS, (o * 7 + p) % len(TIME_TEXTS)), F.lit(". "),
-                        _pick(CROWD_TEXTS, (o + ln * 5) % len(CROWD_TEXTS)), F.lit(". "), cost, F.lit(". "),
-                        _pick(ACTIVITY_TEXTS, (p * 3 + o) % len(ACTIVITY_TEXTS)), F.lit("."))
         columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"]
-        return spread(self.table("lineitem").select(*columns)).select(
-            (o * 100 + ln * 10 + p % 10).alias("review_id"), F.col("l_suppkey").alias("place_id"),
-            (1 + qty % 5).alias("rating"), F.col("l_shipdate").cast("date").alias("travel_date"),
-            "l_partkey", "l_discount", text.alias("text"))
+        return notes_of(spread(self.table("lineitem").select(*columns)))
 
     @cached_property
     def places(self) -> DataFrame:

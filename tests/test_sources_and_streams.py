@@ -40,25 +40,74 @@ def test_write_by_place_and_triples(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t" / "parquet")).count() == 3
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    texts = ["Avoid weekends. Very crowded.", "Early morning is best. Entry fee is Rs. 500.", "Quiet in the evening."]
-    make = lambda k: spark.createDataFrame([(f"{k}{i}", f"p{i % 2}", t) for i, t in enumerate(texts)], "review_id string, place_key string, text string")
-    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-    make("a").write.parquet(src)
-    schema = make("a").schema
+def rows_of(df):
+    return sorted(str(sorted(r.asDict().items())) for r in df.collect())
+
+
+REVIEW = "review_id string, place_key string, url string, ts timestamp, text string"
+TEXTS = ["Avoid weekends. Very crowded.", "Early morning is best. Entry fee is Rs. 500.", "Quiet in the evening.", "Entry fee is Rs. 900. Crowded in July.", None]
+
+
+def some_reviews(spark, names, day):
+    rows = [(n, f"p{i % 3}", n, f"2024-01-{day:02d} 0{i % 10}:00:00", TEXTS[i % len(TEXTS)]) for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "review_id string, place_key string, url string, ts string, text string").withColumn("ts", F.to_timestamp("ts")).coalesce(1)
+
+
+def test_stream_profiles_equal_batch_over_growing_files(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
 
     def run():
-        stream = RS.clean_stream(spark.readStream.schema(schema).parquet(src))
-        RS.vote_stream(spark, stream, out, ck).awaitTermination()
+        stream = RS.clean_stream(spark.readStream.schema(REVIEW).option("maxFilesPerTrigger", 1).parquet(src))
+        RS.profile_stream(stream, out, ck, every=3).awaitTermination()
+
+    def check():
+        norm = N.normalized(spark.read.schema(REVIEW).parquet(src))
+        assert rows_of(RS.current_profiles(spark, out)) == rows_of(PR.profiles(norm, "place_key"))
+        assert rows_of(RS.total_ballots(spark, out, every=3)) == rows_of(PR.ballots(norm, "place_key"))
 
+    for k in range(3):
+        some_reviews(spark, [f"a{k}{i}" for i in range(4 + k)], 1 + k).write.mode("append").parquet(src)
     run()
-    make("b").write.mode("append").parquet(src)
+    check()
+    for k in range(4):
+        some_reviews(spark, [f"b{k}{i}" for i in range(3)], 9 - k).write.mode("append").parquet(src)
     run()
+    check()
     run()  # nothing new: nothing counted twice
-    want = PR.votes(N.normalized(spark.read.parquet(src)), "place_key")
-    got = RS.total_votes(spark, out)
-    key = lambda df: sorted((r.place_key, r.aspect, r.value, r.n) for r in df.collect())
-    assert key(got) == key(want)
+    check()
+
+
+def test_batch_run_again_gives_the_same(spark, tmp_path):
+    out = str(tmp_path / "out")
+    parts = [N.normalized(some_reviews(spark, [f"c{k}{i}" for i in range(5)], 1 + k)) for k in range(5)]
+    for k, part in enumerate(parts):
+        RS.fold_batch(part, k, out, every=2)
+        if k in (1, 2, 4):
+            RS.fold_batch(part, k, out, every=2)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    assert rows_of(RS.current_profiles(spark, out)) == rows_of(PR.profiles(whole, "place_key"))
+    RS.fold_batch(parts[0].limit(0), 5, out, every=2)  # a batch without rows keeps all profiles
+    assert rows_of(RS.current_profiles(spark, out)) == rows_of(PR.profiles(whole, "place_key"))
+
+
+def test_stream_takes_repeats_once_and_leaves_late_rows_out(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+
+    def run():
+        stream = RS.clean_stream(spark.readStream.schema(REVIEW).parquet(src), "2 days")
+        RS.profile_stream(stream, out, ck).awaitTermination()
+
+    first, repeats, late = some_reviews(spark, ["a", "b", "c", "d"], 10), some_reviews(spark, ["a", "b", "e"], 11), some_reviews(spark, ["f", "g", "h"], 1)
+    first.write.parquet(src)
+    run()
+    repeats.write.mode("append").parquet(src)
+    run()
+    late.write.mode("append").parquet(src)
+    run()
+    taken = first.unionByName(repeats.filter("url = 'e'"))
+    assert rows_of(RS.current_profiles(spark, out)) == rows_of(PR.profiles(N.normalized(taken), "place_key"))
     stored = spark.createDataFrame([("p0", 1), ("p9", 2)], "place_key string, v int")
     fresh = spark.createDataFrame([("p0", 7)], "place_key string, v int")
     assert {(r.place_key, r.v) for r in RS.upsert_profiles(stored, fresh).collect()} == {("p0", 7), ("p9", 2)}

@@ -186,18 +186,18 @@ def a40(v):
 _Q = "q.qid, p.place_name, p.district"
 
 
-def _profile_sql(value, order, place_ok, loc_ok, all_ok):
-    return f"""with h as (select {_Q}, {value}, case when contains(lower(p.place_name), lower(q.place)) then 1 when q.location <> '' and contains(lower(p.district), lower(q.location)) and {loc_ok} then 2 when q.location = '' and {all_ok} then 3 end as tier, {order} as o, q.suggested from v_questions q join v_match p on {place_ok}),
+def _profile_sql(value, order, place_ok, loc_ok, all_ok, asked="true"):
+    return f"""with h as (select {_Q}, {value}, case when contains(lower(p.place_name), lower(q.place)) then 1 when q.location <> '' and contains(lower(p.district), lower(q.location)) and {loc_ok} then 2 when q.location = '' and {all_ok} then 3 end as tier, {order} as o, q.suggested from v_questions q join v_match p on {place_ok} where {asked}),
  b as (select *, min(tier) over (partition by qid) as best from h where tier is not null)
 select qid, place_name, district, value, tier from (select *, row_number() over (partition by qid order by o, place_name) as rn from b where tier = best) where rn <= least(suggested, 10)"""
 
 
-def _profile_query(v, value, place_ok, loc_ok, all_ok, order):
+def _profile_query(v, value, place_ok, loc_ok, all_ok, order, asked=None):
     """By named place; else by location; else over all places. Each tier is ranked per place, location or once."""
     from placelore.operators import graphq as G
 
     u = v.ugc.filter(place_ok)
-    q = v.questions.select("qid", "place", "location", "suggested")
+    q = (v.questions if asked is None else v.questions.filter(asked)).select("qid", "place", "location", "suggested")
     cols_ = ["place_id", "place_name", "district", value.alias("value"), order.alias("o")]
     hit = G.contains_join(q.select("place").distinct(), "place", v.places.select("place_id", "place_name"), "place_name").select("place", "place_id")
     by_place = q.join(hit, "place").join(u.select(*cols_), "place_id").withColumn("tier", F.lit(1))
@@ -217,16 +217,54 @@ def q11(v):
     return _profile_query(v, F.col("time_of_day"), F.col("time_of_day").isNotNull(), F.col("conf") >= 0.5, F.col("conf") >= 0.7, -F.col("conf"))
 
 
-@query("q12_crowd", _profile_sql("crowd_label as value", "crowd_level", "crowd_level is not null", "crowd_level <= 2", "crowd_level <= 2 and conf >= 0.5"))
+def _any_word(words):
+    """A question holds one of the words: SQL and column."""
+    return " or ".join(f"contains(lower(question), {lit(w)})" for w in words), F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower("question"), w))
+
+
+_BUSY_SQL, _BUSY = _any_word(R.BUSY_WORDS)
+_QUIET_SQL, _QUIET = _any_word(R.QUIET_WORDS)
+_BUSY_SQL, _BUSY = f"(({_BUSY_SQL}) and not ({_QUIET_SQL}))", _BUSY & ~_QUIET
+
+
+def _two(*parts):
+    return " union all ".join(f"(select * from ({p}))" for p in parts)
+
+
+@query("q12_crowd", _two(_profile_sql("crowd_label as value", "crowd_level", "crowd_level is not null", "crowd_level <= 2", "crowd_level <= 2 and conf >= 0.5", f"not {_BUSY_SQL}"),
+                         _profile_sql("crowd_label as value", "-crowd_level", "crowd_level is not null", "crowd_level >= 4", "crowd_level >= 4 and conf >= 0.5", _BUSY_SQL)))
 def q12(v):
-    quiet = F.col("crowd_level") <= 2
-    return _profile_query(v, F.col("crowd_label"), F.col("crowd_level").isNotNull(), quiet, quiet & (F.col("conf") >= 0.5), F.col("crowd_level"))
+    """Quiet places, the quietest first; for questions with a busy word and no quiet one the busiest."""
+    level = F.col("crowd_level")
+    parts = [_profile_query(v, F.col("crowd_label"), level.isNotNull(), ok, ok & (F.col("conf") >= 0.5), order, asked) for ok, order, asked in ((level <= 2, level, ~_BUSY), (level >= 4, -level, _BUSY))]
+    return parts[0].unionByName(parts[1])
+
+
+def _cost_level_words():
+    """Level to the words that ask for it, in the order in which a question's level is decided."""
+    return [(level, [w for w, x in R.COST_WORDS.items() if x == level]) for level in ("FREE", "HIGH", "MODERATE", "LOW")]
+
+
+def _cost_branches():
+    """(level, SQL condition, column): the first level whose words a question holds; LOW if it holds none."""
+    before_sql, before, out = "false", F.lit(False), []
+    for level, words in _cost_level_words():
+        sql, col = _any_word(words) if level != "LOW" else ("true", F.lit(True))
+        out.append((level, f"(({sql}) and not ({before_sql}))", col & ~before))
+        before_sql, before = f"{before_sql} or ({sql})", before | col
+    return out
 
 
-@query("q13_cost", _profile_sql("cost_level as value", "coalesce(median_lkr, 1000000000)", "cost_level is not null", "cost_level = 'LOW'", "cost_level = 'LOW' and conf >= 0.3"))
+@query("q13_cost", _two(*[_profile_sql("cost_level as value", "coalesce(median_lkr, 1000000000)", "cost_level is not null", f"cost_level = '{level}'", f"cost_level = '{level}' and conf >= 0.3", sql)
+                          for level, sql, _ in _cost_branches()]))
 def q13(v):
-    low = F.col("cost_level") == "LOW"
-    return _profile_query(v, F.col("cost_level"), F.col("cost_level").isNotNull(), low, low & (F.col("conf") >= 0.3), F.coalesce("median_lkr", F.lit(1000000000)))
+    """Places of the cost level that the question's words ask for, the cheapest first."""
+    out = None
+    for level, _, asked in _cost_branches():
+        ok = F.col("cost_level") == level
+        part = _profile_query(v, F.col("cost_level"), F.col("cost_level").isNotNull(), ok, ok & (F.col("conf") >= 0.3), F.coalesce("median_lkr", F.lit(1000000000)), asked)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _M15 = {"crowd": (R.CROWD_WORDS, "QUIET"), "time": (R.TIME_WORDS, None), "season": (R.SEASON_WORDS, None), "cost": (R.COST_WORDS, None)}

@@ -6,41 +6,58 @@ from pyspark.sql.window import Window as W
 from placelore.functions import rules as R
 from placelore.functions.geo import haversine_km
 from placelore.operators import graphq as G
+from placelore.operators import questions as Q
 from placelore.plans.q_trips import _H, _HAV
 from placelore.plans.registry import query
 from placelore.plans.sqltext import lit_list
+from placelore.sources.proxies import TERM_WORDS
 
 _LOC = "(q.location = '' or contains(lower(h.district), lower(q.location)) or contains(lower(coalesce(h.province, '')), lower(q.location)))"
 _FEAT = "(select place_id, string_agg(term, ', ' order by term) as top_feature from (select place_id, term, row_number() over (partition by place_id order by term) as rn from (select distinct place_id, term from v_has where kind = 'feature')) where rn <= 3 group by place_id)"
 
 
-def _ask_sql(kind, col, extra=""):
-    return f"""with hit as (select q.qid, q.suggested, h.*, row_number() over (partition by q.qid order by pct desc, place_name, term) as rank
-   from v_questions q join v_has h on h.kind = '{kind}' and h.sentiment <> 'negative' and contains(lower(h.term), lower(q.{col})) and {_LOC} {extra})
-select qid, place_name, term, sentiment, pct, district, category, coalesce(top_feature, '') as top_features, rank from hit left join {_FEAT} using (place_id) where rank <= least(suggested, 10)"""
+def _inside(h, q="q"):
+    """A place is one of those that the question names, if any, and in one of its areas, if any."""
+    m = f"from v_terms m where m.qid = {q}.qid and m.kind"
+    return (f"(not exists (select 1 {m} = 'place') or exists (select 1 {m} = 'place' and lower(m.term) = lower({h}.place_name))) and "
+            f"(not exists (select 1 {m} = 'location') or exists (select 1 {m} = 'location' and lower(m.term) in (lower({h}.district), lower(coalesce({h}.province, '')))))")
+
+
+def _any_sql(kind, extra="", sentiment="h.sentiment <> 'negative'"):
+    return f"""select distinct q.qid, q.suggested, h.* from v_asked q join v_terms t on t.qid = q.qid and t.kind = '{kind}'
+   join v_has h on h.kind = '{kind}' and {sentiment} and contains(lower(h.term), lower(t.term)) where {_inside('h')} {extra}"""
+
+
+def _ask_sql(kind, extra=""):
+    return f"""with hit as ({_any_sql(kind, extra)}), r as (select *, row_number() over (partition by qid order by pct desc, place_name, term) as rank from hit)
+select qid, place_name, term, sentiment, pct, district, category, coalesce(top_feature, '') as top_features, rank from r left join {_FEAT} using (place_id) where rank <= least(suggested, 10)"""
 
 
 def _out(df):
     return df.select("qid", "place_name", "term", "sentiment", "pct", "district", "category", F.coalesce("top_feature", F.lit("")).alias("top_features"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("q1_activity_places", _ask_sql("activity", "activity"))
+@query("q1_activity_places", _ask_sql("activity"))
 def q1(v):
-    return _out(G.ask_terms(v.questions, v.has, v.places, "activity", "activity"))
+    return _out(Q.ask_any(v.questions, v.terms, v.has, "activity"))
 
 
-_VIOL = "and h.place_id not in (select place_id from v_has where sentiment = 'negative' and contains(lower(term), 'brand#7') and pct > 3)"
+_AVOIDED = "and not exists (select 1 from v_avoided a where a.qid = q.qid and a.place_id = h.place_id)"
 
 
-@query("q2_j8_feature_places", _ask_sql("feature", "feature", _VIOL))
+@query("q2_j8_feature_places", _ask_sql("feature", _AVOIDED))
 def q2(v):
-    bad = G.violators(v.has, v.spark.createDataFrame([("Brand#7",)], "term string"), 3.0)
-    return _out(G.ask_terms(v.questions, v.has, v.places, "feature", "feature", excluded=bad))
+    return _out(Q.ask_any(v.questions, v.terms, v.has, "feature", avoided=v.avoided))
 
 
-@query("q3_facility_places", _ask_sql("facility", "facility"))
+@query("q3_facility_places", _ask_sql("facility"))
 def q3(v):
-    return _out(G.ask_terms(v.questions, v.has, v.places, "facility", "facility"))
+    return _out(Q.ask_any(v.questions, v.terms, v.has, "facility"))
+
+
+@query("m14_question_terms", "select qid, kind, term from v_matched")
+def m14(v):
+    return v.matched.select("qid", "kind", "term")
 
 
 _TERMS = "(select place_id, place_name, district, category, " + ", ".join(f"coalesce(string_agg(term, ', ' order by pct desc, term) filter (kind = '{k}'), '') as {k}" for k in ("activity", "feature", "facility")) + " from v_has group by all)"
@@ -71,18 +88,16 @@ def q6(v):
     return q.join(hit, "name").join(t, "place_id").select("qid", "place_name", "activities", "facilities").distinct()
 
 
-@query("q7_constraints", """
-with f as (select q.qid, h.place_id, place_name, term, pct, row_number() over (partition by q.qid order by pct desc, place_name, term) as rn from v_questions q join v_has h on h.kind = 'feature' and sentiment = 'positive' and contains(lower(term), lower(q.feature))),
- a as (select q.qid, h.place_id, place_name, term, pct, row_number() over (partition by q.qid order by pct desc, place_name, term) as rn from v_questions q join v_has h on h.kind = 'activity' and sentiment <> 'negative' and contains(lower(term), lower(q.activity))),
- u as (select qid, place_id, place_name, term, pct from f where rn <= 12 union all select qid, place_id, place_name, term, pct from a where rn <= 8)
-select qid, place_name, term, pct from u where place_id not in (select place_id from v_has where sentiment = 'negative' and contains(lower(term), 'facility 3') and pct > 9)""")
+@query("q7_constraints", f"""
+with f as (select *, row_number() over (partition by qid order by pct desc, place_name, term) as rn from ({_any_sql('feature', _AVOIDED, "h.sentiment = 'positive'")})),
+ a as (select *, row_number() over (partition by qid order by pct desc, place_name, term) as rn from ({_any_sql('activity', _AVOIDED)}))
+select qid, place_name, term, pct from f where rn <= 12 union all select qid, place_name, term, pct from a where rn <= 8""")
 def q7(v):
-    q = v.questions.withColumn("location", F.lit("")).withColumn("suggested", F.lit(100))
-    f = G.ask_terms(q, v.has, v.places, "feature", "feature", sentiment=F.col("sentiment") == "positive", limit=12, features=None)
-    a = G.ask_terms(q, v.has, v.places, "activity", "activity", limit=8, features=None)
-    bad = G.violators(v.has, v.spark.createDataFrame([("Facility 3",)], "term string"), 9.0, null_counts=True)
-    cols = ["qid", "place_id", "place_name", "term", "pct"]
-    return f.select(*cols).unionByName(a.select(*cols)).join(bad, "place_id", "left_anti").drop("place_id")
+    q = v.questions.withColumn("suggested", F.lit(100))
+    f = Q.ask_any(q, v.terms, v.has, "feature", avoided=v.avoided, sentiment=F.col("sentiment") == "positive", limit=12, features=None)
+    a = Q.ask_any(q, v.terms, v.has, "activity", avoided=v.avoided, limit=8, features=None)
+    cols = ["qid", "place_name", "term", "pct"]
+    return f.select(*cols).unionByName(a.select(*cols))
 
 
 @query("q8_explanation", f"""
@@ -97,12 +112,14 @@ def q8(v):
 
 
 @query("q9_multi_criteria", f"""
-select t.place_id, place_name, t.feature as features from {_TERMS} t where exists (select 1 from v_has h where h.place_id = t.place_id and kind = 'activity' and term = 'PROMO' and h.pct >= 15)
- and exists (select 1 from v_has h where h.place_id = t.place_id and kind = 'facility' and term = 'Facility 3' and sentiment <> 'negative') and contains(lower(district), 'nation_1')""")
+with w as (select qid, kind, term from v_terms where kind in ('activity', 'facility')), n as (select qid, count(distinct kind) as k from w group by qid having count(distinct kind) > 1),
+ hit as (select w.qid, h.place_id, h.place_name, h.district, h.province, count(distinct w.kind) as k from w join v_has h on h.kind = w.kind and contains(lower(h.term), lower(w.term))
+   and ((h.kind = 'activity' and h.pct >= 15) or (h.kind = 'facility' and h.sentiment <> 'negative')) group by all)
+select h.qid, h.place_id, h.place_name, t.feature as features from hit h join n using (qid, k) join {_TERMS} t on t.place_id = h.place_id
+where (not exists (select 1 from v_terms m where m.qid = h.qid and m.kind = 'location') or exists (select 1 from v_terms m where m.qid = h.qid and m.kind = 'location' and lower(m.term) in (lower(h.district), lower(coalesce(h.province, '')))))""")
 def q9(v):
-    p = G.multi_criteria(v.has, [("activity", (F.col("term") == "PROMO") & (F.col("pct") >= 15)), ("facility", (F.col("term") == "Facility 3") & (F.col("sentiment") != "negative")),
-                                 ("activity", F.contains(F.lower("district"), F.lit("nation_1")))])
-    return G.place_terms(v.has).join(p.select("place_id"), "place_id", "left_semi").select("place_id", "place_name", F.col("feature").alias("features"))
+    p = Q.meet_all(v.terms.join(v.questions.select("qid"), "qid", "left_semi"), v.has, {"activity": F.col("pct") >= 15, "facility": F.col("sentiment") != "negative"})
+    return p.join(G.place_terms(v.has).select("place_id", F.col("feature").alias("features")), "place_id").select("qid", "place_id", "place_name", "features")
 
 
 _NEAR = _H.format(h=_HAV.format(a="a.", b="b."))
@@ -117,11 +134,11 @@ def q10(v):
 
 
 @query("q10_nearby_with_attribute", f"""
-with s as (select * from v_places where place_id in (select place_id from v_has where kind = 'activity' and term = 'SMALL' and pct >= 15 and sentiment <> 'negative'))
+with s as (select * from v_places where place_id in (select place_id from v_has where kind = 'activity' and term = '{TERM_WORDS[2]}' and pct >= 15 and sentiment <> 'negative'))
 select place_id, near_id, km from (select a.place_id, b.place_id as near_id, round(coalesce(r.distance_km, 1.2 * {_NEAR}), 4) as km, row_number() over (partition by a.place_id order by round({_NEAR}, 6), b.place_id) as rank
  from v_places a join s b on a.place_id <> b.place_id left join v_edges r on r.a = a.place_id and r.b = b.place_id) where rank <= 3""")
 def q10b(v):
-    ok = v.has.filter("kind = 'activity' and term = 'SMALL' and pct >= 15 and sentiment <> 'negative'").select("place_id")
+    ok = v.has.filter(f"kind = 'activity' and term = '{TERM_WORDS[2]}' and pct >= 15 and sentiment <> 'negative'").select("place_id")
     n = G.nearest(v.places, v.places.join(ok, "place_id", "left_semi"), 3)
     r = v.edges.select(F.col("a").alias("place_id"), F.col("b").alias("near_id"), "distance_km")
     return n.join(r, ["place_id", "near_id"], "left").select("place_id", "near_id", F.round(F.coalesce("distance_km", 1.2 * F.col("km")), 4).alias("km"))

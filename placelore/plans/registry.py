@@ -11,6 +11,9 @@ from placelore.sources import proxies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: SQL as written, to be put together in larger checks.
+RAW: dict[str, str] = {}
+BY_NAME: dict[str, Callable[[proxies.Views], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -20,8 +23,9 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(proxies.Views(spark, sf_dir))
 
-        QUERIES[name] = run
+        QUERIES[name], BY_NAME[name] = run, fn
         if sql:
+            RAW[name] = sql
             ORACLE[name] = with_views(sql)
         return fn
 

@@ -49,6 +49,13 @@ QUESTION_TEXTS = ["where can I find this", "which places are quiet and uncrowded
                   "best time to go"]
 
 
+TERM_WORDS = ["STANDARD", "LARGE", "SMALL", "ECONOMY", "PROMO", "MEDIUM", "cruise"]
+#: Synonyms, triggers and what they do, as data: (kind, word, term), (kind, trigger, term, instead), (trigger, avoid, min_pct).
+SYNONYMS = [("activity", "cruise", "PROMO"), ("activity", "cruise", "ECONOMY"), ("trigger", "uncrowded", "uncrowded"), ("trigger", "cheap or free", "cheap")]
+REWRITES = [("feature", "uncrowded", "Brand#11", "Brand#12"), ("feature", "uncrowded", "Brand#21", "Brand#22")]
+AVOID = [("uncrowded", "Brand#1", 3.0), ("cheap", "Facility 3", 9.0)]
+
+
 def _lit_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -115,13 +122,32 @@ VIEW_SQL: dict[str, str] = {
         select conv_id * 100 + turn as qid,
                ({_lit_list(INTENTS)})[1 + (conv_id + turn) % {len(INTENTS)}] as intent,
                ({_lit_list(QUESTION_TEXTS)})[1 + (conv_id * 3 + turn) % {len(QUESTION_TEXTS)}] as question,
-               (['STANDARD', 'LARGE', 'SMALL', 'ECONOMY', 'PROMO', 'MEDIUM', 'cruise'])[1 + (conv_id * 5 + turn) % 7] as activity,
+               ({_lit_list(TERM_WORDS)})[1 + (conv_id * 5 + turn) % 7] as activity,
+               ({_lit_list(TERM_WORDS)})[1 + (conv_id * 5 + turn + 3) % 7] as second,
                'Brand#' || (1 + (conv_id * 7 + turn) % 27) as feature,
                'Facility ' || ((conv_id + turn) % 11) as facility,
                'Supplier#' || lpad(cast((conv_id * 37 + turn) % 120 as varchar), 9, '0') as place,
                case when conv_id % 4 = 0 then 'asia' when conv_id % 4 = 1 then 'nation_1' else '' end as location,
                5 + (conv_id + turn) % 8 as suggested, text
         from conversations where role = 'user'""",
+    "v_asked": """
+        select *, question || ': ' || activity || ' or ' || second || ', ' || feature || ' and (' || facility || ')' || case when qid % 5 = 0 then ' at ' || place else '' end
+               || case when location <> '' then ' in ' || location || '?' else '' end as asked from v_questions""",
+    "v_dictionary": f"""
+        select distinct kind, lower(case kind when 'activity' then split_part(term, ' ', 1) else term end) as word, case kind when 'activity' then split_part(term, ' ', 1) else term end as term from v_pop
+        union select 'place', lower(place_name), place_name from v_places union select 'location', lower(district), district from v_places union select 'location', lower(province), province from v_places where province is not null
+        union select * from (values {", ".join(f"('{k}', '{w}', '{t}')" for k, w, t in SYNONYMS)})""",
+    "v_matched": """
+        with t as (select qid, ' ' || trim(regexp_replace(lower(asked), '[^\\pL\\pN#_]+', ' ', 'g')) || ' ' as t from v_asked),
+        d as (select kind, term, ' ' || trim(regexp_replace(lower(word), '[^\\pL\\pN#_]+', ' ', 'g')) || ' ' as w from v_dictionary)
+        select qid, kind, term from (select *, row_number() over (partition by qid, kind order by pos, term) as nth from (
+          select qid, kind, term, min(instr(t, w)) as pos from t join d on contains(t, w) group by qid, kind, term)) where nth <= 5""",
+    "v_terms": f"""
+        select distinct m.qid, m.kind, coalesce(r.instead, m.term) as term from v_matched m left join (select qid, r.kind, r.term, min(r.instead) as instead
+          from v_matched m join (values {", ".join(str(x) for x in REWRITES)}) as r(kind, trigger, term, instead) on m.kind = 'trigger' and m.term = r.trigger group by all) r on r.qid = m.qid and r.kind = m.kind and r.term = m.term""",
+    "v_avoided": f"""
+        select distinct m.qid, h.place_id from v_matched m join (values {", ".join(str(x) for x in AVOID)}) as r(trigger, avoid, min_pct) on m.kind = 'trigger' and m.term = r.trigger
+        join v_has h on h.sentiment = 'negative' and contains(lower(h.term), lower(r.avoid)) and h.pct > r.min_pct""",
     # -- trips ------------------------------------------------------------------------------------------
     "v_visits": """
         select l_orderkey as trip_id, l_suppkey as place_id,
@@ -250,17 +276,51 @@ class Views:
     @cached_property
     def questions(self) -> DataFrame:
         c, t = F.col("conv_id"), F.col("turn")
-        terms = ["STANDARD", "LARGE", "SMALL", "ECONOMY", "PROMO", "MEDIUM", "cruise"]
         return self.table("conversations").filter(F.col("role") == "user").select(
             (c * 100 + t).alias("qid"), _pick(INTENTS, (c + t) % len(INTENTS)).alias("intent"),
             _pick(QUESTION_TEXTS, (c * 3 + t) % len(QUESTION_TEXTS)).alias("question"),
-            _pick(terms, (c * 5 + t) % 7).alias("activity"),
+            _pick(TERM_WORDS, (c * 5 + t) % 7).alias("activity"), _pick(TERM_WORDS, (c * 5 + t + 3) % 7).alias("second"),
             F.concat(F.lit("Brand#"), (1 + (c * 7 + t) % 27).cast("string")).alias("feature"),
             F.concat(F.lit("Facility "), ((c + t) % 11).cast("string")).alias("facility"),
             F.concat(F.lit("Supplier#"), F.lpad(((c * 37 + t) % 120).cast("string"), 9, "0")).alias("place"),
             F.when(c % 4 == 0, "asia").when(c % 4 == 1, "nation_1").otherwise("").alias("location"),
             (5 + (c + t) % 8).alias("suggested"), "text")
 
+    @cached_property
+    def asked(self) -> DataFrame:
+        """Questions with a whole text that names terms of several kinds, some places and some areas."""
+        part = lambda when, *x: F.when(when, F.concat(*x)).otherwise("")
+        c, l = F.col, F.lit
+        text = F.concat("question", l(": "), "activity", l(" or "), "second", l(", "), "feature", l(" and ("), "facility", l(")"),
+                        part(c("qid") % 5 == 0, l(" at "), c("place")), part(c("location") != "", l(" in "), c("location"), l("?")))
+        return self.questions.withColumn("asked", text)
+
+    @cached_property
+    def dictionary(self) -> DataFrame:
+        term = F.when(F.col("kind") == "activity", F.split_part("term", F.lit(" "), F.lit(1))).otherwise(F.col("term"))
+        own = self.pop.select("kind", F.lower(term).alias("word"), term.alias("term"))
+        name = lambda kind, c: self.places.filter(F.col(c).isNotNull()).select(F.lit(kind).alias("kind"), F.lower(c).alias("word"), F.col(c).alias("term"))
+        return own.union(name("place", "place_name")).union(name("location", "district")).union(name("location", "province")).union(
+            self.spark.createDataFrame(SYNONYMS, "kind string, word string, term string")).distinct()
+
+    @cached_property
+    def matched(self) -> DataFrame:
+        from placelore.operators.questions import match_terms
+
+        return durable(match_terms(self.asked, self.dictionary))
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        from placelore.operators.questions import rewritten
+
+        return rewritten(self.matched, self.spark.createDataFrame(REWRITES, "kind string, trigger string, term string, instead string"))
+
+    @cached_property
+    def avoided(self) -> DataFrame:
+        from placelore.operators.questions import avoided_places
+
+        return avoided_places(self.matched, self.has, self.spark.createDataFrame(AVOID, "trigger string, avoid string, min_pct double"))
+
     @cached_property
     def visits(self) -> DataFrame:
         first = self.table("lineitem").groupBy(F.col("l_orderkey").alias("trip_id"), F.col("l_suppkey").alias("place_id")).agg(

@@ -162,13 +162,33 @@ def has_letters(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def drop_unknown(docs: DataFrame, penalty: float = 3.0, most: int | None = None, least_share: float = 0.02) -> DataFrame:
-    """The rows of ``docs``, with all columns, for which ``identify`` finds a language: those whose text has letters.
+def known_share(table: np.ndarray, texts: list[str | None], wanted: np.ndarray | None = None) -> np.ndarray:
+    """Share of each text's words that the mixture gives to the wanted languages (rows of ``table``; None: all).
 
-    If nothing could be learned, no text has a language; then every text that has letters stays.
+    Beside the languages stands a background under which all trigrams are equally likely; it takes the words that no
+    language explains. Texts without letters have a share of 0.
+    """
+    letters, out = Letters(texts), np.zeros(len(texts))
+    if not len(letters.doc):
+        return out
+    even = -np.log(float(1 << BITS)) * (letters.ends - letters.begins)
+    logs = np.concatenate([word_likelihoods(table, letters), even[:, None]], axis=1)
+    like = np.exp(logs - logs.max(axis=1, keepdims=True))
+    first = np.flatnonzero(np.concatenate([[True], letters.doc[1:] != letters.doc[:-1]]))
+    share, _ = mixture(like, first, np.ones((len(first), len(table) + 1)))
+    out[letters.doc[first]] = share[:, :-1].sum(axis=1) if wanted is None else share[:, :-1][:, wanted].sum(axis=1)
+    return out
+
+
+def drop_unknown(docs: DataFrame, languages: list[str] | None = None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, of whose words the mixture gives at least ``least`` to the wanted
+    ``languages`` (None: all learned ones). Null and empty texts and those without letters go.
+
+    If nothing could be learned, nothing can be told apart; then every text that has letters stays.
     """
     names, table = learn(docs)
     if not names:
         return keep_rows(docs, has_letters)
+    wanted = None if languages is None else np.isin(names, languages)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    return keep_rows(docs, lambda texts: infer(shared.value, texts, penalty, most, least_share)[1] > 0)
+    return keep_rows(docs, lambda texts: known_share(shared.value, texts, wanted) >= least)

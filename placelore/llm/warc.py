@@ -31,12 +31,13 @@ RECORD = ("page_id long, record_type string, refers_to long, payload_bytes long,
           "origin string, number int, total long, block binary, path string, at long")
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def record_id(page_id: int | None, digest: str, again: str = "") -> str:
+    """The id of a page's record: page, payload digest and, where a task writes both once more, a number."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest}{again}>"
 
 
 def page_of(urn: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    found = re.match(r"<urn:page:(-?\d+)[:>]", urn or "")
     return int(found[1]) if found else None
 
 
@@ -100,17 +101,22 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, segment_byte
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
+        names: set[str] = set()
         path, n = os.path.join(folder, f"pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"), 0
         with open(f"{path}.part", "wb") as out:
             for batch in slices(batches, "html"):
                 for page, url, html, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first"))):
                     n += 1
-                    name = record_id(page)
-                    common = [("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", one_line(url)), ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(html).hexdigest()}"),
+                    digest = hashlib.sha256(html).hexdigest()
+                    name = record_id(page, digest)
+                    if name in names:  # a repeated row
+                        name = record_id(page, digest, f":{TaskContext.get().partitionId()}.{n}")
+                    names.add(name)
+                    common = [("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", one_line(url)), ("WARC-Payload-Digest", f"sha256:{digest}"),
                               ("Content-Type", "application/http;msgtype=response")]
                     if first is not None:
                         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html)
-                        out.write(record([("WARC-Type", "revisit"), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first))], block))
+                        out.write(record([("WARC-Type", "revisit"), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first, digest))], block))
                         continue
                     block = http_block(html, chunk)
                     if len(block) <= segment_bytes:
@@ -194,7 +200,8 @@ def reassembled(segments: DataFrame) -> DataFrame:
     """Whole records from segments (origin, number, total, block, path, at; payload_digest where number is 1).
 
     Segments of an origin are ordered by number; the numbers must run from 1 and the lengths add up to the total, else the
-    record is ``broken`` with the bytes that are there. An origin that occurs several times is put together as often.
+    record is ``broken`` with the bytes that are there. Only rows that repeat page and payload can share an origin; their
+    segments are the same bytes, and the record is put together as often.
     """
     copy = F.row_number().over(W.partitionBy("origin", "number").orderBy("path", "at"))
     parts = segments.withColumn("copy", copy).groupBy("origin", "copy").agg(

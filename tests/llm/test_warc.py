@@ -39,6 +39,17 @@ def test_round_trip(spark):
     assert all(r.verified for r in got)
 
 
+def test_long_payloads_under_one_id(spark):
+    """Payloads of several segments stay apart though they share a page_id, or have none, over one file and over several."""
+    long = ["a" * 70_000, "b" * 300_000, "c" * 65_000 + "é" * 9, "short " * 30]
+    rows = [(p, "u", h) for p in (7, 7, None) for h in long] + [(None, "u", long[1]), (8, "u", long[0])]
+    for parts in (1, 4):
+        pages = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).repartition(parts)
+        got = warc.read_pages(warc.write_archives(pages, scratch(spark, "warc"))).collect()
+        assert sorted(((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == plain(rows)
+        assert all(r.verified for r in got)
+
+
 def test_empty_table(spark):
     assert warc.read_pages(warc.write_archives(spark.createDataFrame([], SCHEMA), scratch(spark, "warc"))).collect() == []
 
@@ -51,7 +62,7 @@ def test_segments_of_several_files_and_broken_ones(spark):
     digest = hashlib.sha256(b"payload " * 100).hexdigest()
 
     def segments(page, skip=None, total=None):
-        name = warc.record_id(page)
+        name = warc.record_id(page, digest)
         out = []
         for n, part in enumerate(parts, 1):
             head = [("WARC-Type", "response"), ("WARC-Record-ID", name), ("WARC-Payload-Digest", f"sha256:{digest}")] if n == 1 else [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<c{page}{n}>"), ("WARC-Segment-Origin-ID", name)]

@@ -9,7 +9,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from placelore.llm import decontaminate, langid, packing, superminhash, toxicity
 from placelore.llm.common import written, table
@@ -21,20 +20,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null or empty texts and those without letters."""
+    """Drops documents most of whose words no learned language explains, and those without letters."""
     return langid.drop_unknown(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group, once if its row is repeated.
+    """Keeps one row of each group of near-duplicates, that with the smallest doc_id; a null doc_id comes last.
 
-    Rows without a doc_id stay: no group can name them.
+    Rows are decided one by one, so texts that share a doc_id stay or go for themselves. Texts without words copy nothing.
     """
-    copies = superminhash.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("_row"), *docs.columns), "numbered")
+    groups = superminhash.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    placed = written(groups.join(numbered.select("_row", "doc_id"), "_row").select("component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("place")), "places")
+    best = placed.groupBy("component_id").agg(F.min("place").alias("best"), F.count("*").alias("n")).filter("n > 1").select("component_id", "best")
+    copies = placed.join(best, "component_id").filter("place._row <> best._row").select("place._row")
     # one plan at every size: the copies grow with the corpus, so they are never broadcast
-    left = docs.join(copies.hint("merge"), "doc_id", "left_anti")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    return left.withColumn("_nth", F.when(F.col("doc_id").isNotNull(), nth).otherwise(1)).filter("_nth = 1").select(*docs.columns)
+    return numbered.join(copies.hint("merge"), "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -91,7 +92,9 @@ class ChunkEncoder:
     those not used lately are let go.
     """
 
-    MARK, ENDS, LATIN = "!", "!#$%&*,-./:;=?@^_|~)]}>", "\u0100"
+    MARK, LATIN = "!", "\u0100"
+    #: Latin-1 letters, after a blank or not, and marks that follow them.
+    SHAPE = re.compile(r"( ?[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!#$%&*,\-./:;=?@^_|~)\]}>]*)")
 
     def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -107,6 +110,9 @@ class ChunkEncoder:
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(i) for i in range(ord(" "), ord(self.LATIN)) if i == 32 or chr(i).isalpha()]
         self.shown = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
+        resize = getattr(self.merges.model, "_resize_cache", None)
+        if resize:  # what comes here is new, so the model's own cache never helps
+            resize(16)
         self.mark = self.merges.encode(self.MARK).ids[0]
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -123,11 +129,6 @@ class ChunkEncoder:
         body = chunk[1:] if chunk[:1] == " " else chunk
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
-    def plain(self, chunk: str) -> bool:
-        """Latin-1 letters alone, after a blank or not."""
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        return body.isalpha() and (body.isascii() or max(body) < self.LATIN)
-
     def merged(self, chunks: list[str]) -> list[bytes]:
         """Ids of plain chunks."""
         joined = f"\n{self.MARK}\n".join([*(c.lower() for c in chunks), ""]) if self.drops_blanks else f"\n{self.MARK}\n".join([*chunks, ""])
@@ -137,34 +138,39 @@ class ChunkEncoder:
         return [data[4 * a:4 * b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
 
     def add(self, fresh: set[str]) -> None:
+        """Put the ids of ``fresh`` chunks into ``now``; None stands for a chunk that must not stand alone."""
+        now, old, shape = self.now, self.old, self.SHAPE.fullmatch
+        again = fresh & old.keys()
+        now.update((c, old[c]) for c in again)
         plain, ended, other = [], [], []
-        for c in fresh:
-            if c in self.old:
-                self.now[c] = self.old[c]
-            elif self.plain(c):
-                plain.append(c)
-            elif (stem := c.rstrip(self.ENDS)) != c and self.plain(stem):
-                ended.append((c, stem, c[len(stem):]))
-            elif self.regular(c):
-                other.append(c)
-            else:
-                self.now[c] = None
-        stems = {stem for _, stem, _ in ended}.difference(self.now, plain)
-        for c in stems:
-            if c in self.old:
-                self.now[c] = self.old[c]
+        for c in fresh - again:
+            found = shape(c)
+            if not found:
+                if self.regular(c):
+                    other.append(c)
+                else:
+                    now[c] = None
+            elif found[2]:
+                ended.append((c, found[1], found[2]))
             else:
                 plain.append(c)
+        stems = {stem for _, stem, _ in ended}
+        stems.difference_update(plain)
+        again = stems & now.keys()
+        back = (stems - again) & old.keys()
+        now.update((c, old[c]) for c in back)
+        plain += stems - again - back
         for lo in range(0, len(plain), 2000):
             part = plain[lo:lo + 2000]
-            self.now.update(zip(part, self.merged(part)))
+            now.update(zip(part, self.merged(part)))
         for lo in range(0, len(other), 20_000):
-            self.now.update(zip(other[lo:lo + 20_000], self.ids(other[lo:lo + 20_000])))
+            now.update(zip(other[lo:lo + 20_000], self.ids(other[lo:lo + 20_000])))
         marks = list({mark for _, _, mark in ended}.difference(self.ends))
         if len(self.ends) > 10_000:
             self.ends, marks = {}, list({mark for _, _, mark in ended})
         self.ends.update(zip(marks, self.ids(marks)))
-        self.now.update((c, self.now[stem] + self.ends[mark]) for c, stem, mark in ended)
+        ends = self.ends
+        now.update((c, now[stem] + ends[mark]) for c, stem, mark in ended)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

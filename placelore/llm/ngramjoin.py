@@ -10,8 +10,9 @@ nodes whose bound is below what the smallest sizes need is cut, and so is a pair
 already. The upper nodes are a table and meet by an equi join on root and neighbouring size class; pairs that survive
 are walked down inside a task, level by level, to pairs of sets. Those are compared exactly.
 
-Before the walk the sets of a root are compared with its smallest one, which joins most of a large group; the walk then
-has only pairs between different components left, and no group is ever expanded into all its pairs.
+Before the walk the sets of a root are compared with its smallest one, which joins most of a large group and settles roots
+of two sets; roots with the same other sets are walked once. The walk has only pairs between different components left,
+and no group is ever expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placelore.llm.common import slices, written
+from placelore.llm.phrases import field_of, inside
 from placelore.llm.superminhash import shingles
 from placelore.llm.unionfind import components
 
@@ -138,15 +140,18 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return cold.unionByName(rows.filter("hot").select("key", "short").distinct())
 
 
-def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n and the set as an array of longs."""
+def sets_of(docs: DataFrame, size: int, field: np.ndarray) -> DataFrame:
+    """class (the doc_id), n and the set as an array of longs, of the documents whose id is in the bit field."""
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, size):
+        chosen = (b.filter(pa.array(inside(sent.value, b.column("doc_id").to_numpy().view(np.uint64)))) for b in batches)
+        for batch, sets in _sets(chosen, size):
             n = np.array([len(x) for x in sets], np.int64)
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["class", "n", "items"])
 
-    return _texts(docs).mapInArrow(run, "class long, n long, items array<long>")
+    return _texts(docs.filter("text is not null and doc_id is not null")).mapInArrow(run, "class long, n long, items array<long>")
 
 
 def possible(percent: int, low_a, high_a, low_b, high_b, excess_a, excess_b, common):
@@ -208,12 +213,11 @@ def walk(left: Tree, right: Tree, percent: int, same: bool) -> list[tuple[int, i
 def tree_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
     """Candidate pairs (a, b) of different components under common roots.
 
-    ``members``: key, class, n, excess, bits, label. The sets of a root are dealt by size class and label into upper
+    ``members``: key, class, n, excess, bits, label, of roots with several components. The sets of a root are dealt by size class and label into upper
     nodes of about ``block`` sets; the pairs of upper nodes that no bound excludes are each walked in one task.
     """
-    mixed = members.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l < _h").select("key")
     grade = F.floor(F.log("n") / float(np.log(100 / percent) / 2)).cast("int").alias("grade")
-    rows = members.join(mixed, "key").withColumn("grade", grade)
+    rows = members.withColumn("grade", grade)
     sizes = rows.groupBy("key", "grade").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = written(rows.join(sizes, ["key", "grade"]).withColumn("node", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int")).drop("blocks"), "members")
     bits = [F.bit_or(F.col("bits")[i]).alias(f"b{i}") for i in range(LONGS)]
@@ -271,31 +275,46 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
+def with_bits(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that no bound excludes."""
+    for t in "ab":
+        pairs = pairs.join(classes.select(F.col("class").alias(t), *[F.col(c).alias(f"{c}_{t}") for c in ("n", "excess", "bits")]), t)
+    common = sum((F.bit_count(F.col("bits_a")[i].bitwiseAND(F.col("bits_b")[i])) for i in range(LONGS)), F.lit(0))
+    fits = possible(percent, F.col("n_a"), F.col("n_a"), F.col("n_b"), F.col("n_b"), F.col("excess_a"), F.col("excess_b"), common)
+    return pairs.filter(fits).select("a", "b").distinct()
+
+
 def links(docs: DataFrame, classes: DataFrame, percent: int = 85, size: int = 4, block: int = 512) -> DataFrame:
     """Links (a, b) between class representatives that join all classes which similar pairs connect.
 
     A pair of similar classes is missing from the result only if other links connect the two.
     """
     rows = written(prefixes(docs, size, percent, sketch(docs, size)), "prefixes")
-    keyed = written(shared_keys(rows).join(classes.select("short", "class", "n", "excess", "bits"), "short").drop("short"), "keyed")
-    hub = F.min(F.struct("class", "n", "excess", "bits"))
-    hubs = keyed.groupBy("key").agg(hub.alias("hub"))
-    common = sum((F.bit_count(F.col("bits")[i].bitwiseAND(F.col("hub.bits")[i])) for i in range(LONGS)), F.lit(0))
-    fits = possible(percent, F.col("n"), F.col("n"), F.col("hub.n"), F.col("hub.n"), F.col("excess"), F.col("hub.excess"), common)
-    star = written(keyed.join(hubs, "key").filter(F.col("class") != F.col("hub.class")).filter(fits).select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct(), "star")
+    keyed = written(shared_keys(rows).join(classes.select("short", "class", "n"), "short").select("key", "class", "n"), "keyed")
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("class", "n")).alias("hub"), F.count("*").alias("members"))
+    spokes = written(keyed.join(hubs, "key").filter(F.col("class") != F.col("hub.class")).select("key", "class", "n", "hub", "members"), "spokes")
+    sized = spokes.filter((100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
+    star = written(with_bits(sized.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct(), classes, percent), "star")
     near = written(with_sets(docs, star, size, percent), "near")
     label = components(near).select(F.col("node").alias("class"), "label")
-    members = keyed.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    rest = written(tree_pairs(members, percent, block), "candidates")
-    return near.unionByName(written(with_sets(docs, rest, size, percent), "linked"))
+    # all that is left of a root are the pairs without its hub
+    rest = spokes.filter("members > 2").select("key", "class").join(label, "class", "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+    groups = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("class")).alias("s"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("x"), F.count("*").alias("c"))
+    # roots with the same sets have the same pairs: one of them stands for all
+    roots = written(groups.filter("low < high").groupBy("s", "x", "c").agg(F.min("key").alias("key")).select("key"), "roots")
+    members = written(rest.join(roots, "key").join(classes.select("class", "n", "excess", "bits"), "class"), "members")
+    again = written(tree_pairs(members, percent, block), "candidates")
+    return near.unionByName(written(with_sets(docs, again, size, percent), "linked"))
 
 
 def with_sets(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The similar ones of ``pairs``; only the texts that a pair names are cut into sets."""
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    # the same join at every size: the ids asked for grow with the corpus, so they are never broadcast
-    texts = docs.select("doc_id", "text").join(asked.hint("merge"), "doc_id", "left_semi").filter("text is not null")
-    return similar(pairs, written(sets_of(texts, size), "sets"), percent)
+    """The similar ones of ``pairs``.
+
+    The ids that pairs name fill a bit field of fixed size, by which the scan leaves out other texts; what a false bit
+    lets through finds no pair. So texts are not shuffled, and only these sets are written.
+    """
+    asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    return similar(pairs, written(sets_of(docs, size, field_of(asked)), "sets"), percent)
 
 
 def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, block: int = 512) -> DataFrame:

@@ -30,7 +30,7 @@ from placelore.llm.superminhash import BASE, mix
 TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".........." + b" ")
 FIELD_BITS = 26
 #: Words of text that a task counts together before it hands them on.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -128,52 +128,63 @@ def field_of(hashes: DataFrame) -> np.ndarray:
 
 
 def inside(field: np.ndarray, h: np.ndarray) -> np.ndarray:
-    one, two = slots(h)
-    return ((field[one >> 3] >> (one & 7).astype(np.uint8)) & (field[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
+    """Which hashes have both of their bits; the second is looked up only where the first is there."""
+    one = (h & np.uint64((1 << FIELD_BITS) - 1)).astype(np.int64)
+    out = (field[one >> 3] >> (one & 7).astype(np.uint8) & 1).astype(bool)
+    at = np.flatnonzero(out)
+    two = slots(h[at])[1]
+    out[at] = (field[two >> 3] >> (two & 7).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def held(field: np.ndarray, reach: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For all positions: proposed, and both parts proposed (``reach`` marks the positions ``at``)."""
+    out = np.zeros(len(h) + 1, bool)  # one more, so that the position after the last can be asked for
+    in_reach = at[reach]
+    out[in_reach] = inside(field, h[in_reach])
+    return out
 
 
 def full_pass(docs: DataFrame, longest: int, field: np.ndarray, before: np.ndarray | None) -> DataFrame:
-    """(lang, size, phrase, h, n): proposed phrases with their words, border phrases with their hash alone.
+    """(phrase, h, n): proposed phrases as length, words and language, border phrases with their hash alone.
 
     With ``before``, the field of the last pass, only what the larger field adds is counted: phrases whose parts have
-    become proposed, and proposed phrases that were in the border. The row of size 0 has the number of words.
+    become proposed, and proposed phrases that were in the border. The phrase of length 0 has the number of words.
     """
     sent = docs.sparkSession.sparkContext.broadcast((field, before))
 
+    def out(phrases: list | None, h: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()) if phrases is None else pa.array(phrases, pa.string()), pa.nulls(len(n), pa.int64()) if h is None else pa.array(h.view(np.int64)), pa.array(n)], names=["phrase", "h", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, before = sent.value
         for chunk in chunks(batches):
-            parts_now = parts_then = None
+            now = then = None
             for k, at, total in chunk.grams(longest):
-                now = inside(field, total)
-                then = inside(before, total) if before is not None else None
-                if k == 1:
-                    reach, old = np.ones(len(at), bool), np.ones(len(at), bool)
-                    if before is None:
-                        n = np.bincount(chunk.lang[at], minlength=len(chunk.names))
-                        yield pa.RecordBatch.from_pydict({"lang": chunk.names, "size": pa.array([0] * len(n), pa.int32()), "phrase": [""] * len(n), "h": pa.array([None] * len(n), pa.int64()), "n": pa.array(n)})
+                reach = np.ones(len(at), bool) if k == 1 else now[at] & now[at + 1]
+                now_k = held(field, reach, at, total)
+                if before is None:
+                    if k == 1:
+                        yield out([f"0\t\t{lang}" for lang in chunk.names], None, np.bincount(chunk.lang[at], minlength=len(chunk.names)))
+                    new = reach
                 else:
-                    reach = parts_now[at] & parts_now[at + 1]
-                    old = parts_then[at] & parts_then[at + 1] if before is not None else None
+                    old = np.ones(len(at), bool) if k == 1 else then[at] & then[at + 1]
+                    then = held(before, old, at, total)
+                    new = reach & (~old | (now_k[at] & ~then[at]))
+                now, at = now_k, at[new]
+                if not len(at):
+                    continue
                 member = now[at]
-                if before is not None:
-                    reach = reach & (~old | (member & ~then[at]))
-                at, member = at[reach], member[reach]
-                parts_now, parts_then = now, then
-                h, first, n = np.unique(total[at], return_index=True, return_counts=True)
-                known = member[first]
-                border = ~known
-                if border.any():
-                    m = int(border.sum())
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.array(np.full(m, k, np.int32)), pa.nulls(m, pa.string()), pa.array(h[border].view(np.int64)), pa.array(n[border])], names=["lang", "size", "phrase", "h", "n"])
-                start = at[first[known]]
-                if len(start):
-                    names = np.array(chunk.names, object)[chunk.lang[start]]
-                    text = [b" ".join(chunk.words[i:i + k]).decode("utf-8", "replace") for i in start.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.full(len(start), k, np.int32)), pa.array(text, pa.string()), pa.array(h[known].view(np.int64)), pa.array(n[known])], names=["lang", "size", "phrase", "h", "n"])
-
-    rows = _rows(docs).mapInArrow(run, "lang string, size int, phrase string, h long, n long")
-    return rows.groupBy("lang", "size", "phrase", "h").agg(F.sum("n").alias("n"))
+                h, n = np.unique(total[at[~member]], return_counts=True)
+                if len(h):
+                    yield out(None, h, n)
+                h, first, n = np.unique(total[at[member]], return_index=True, return_counts=True)
+                start = at[member][first].tolist()
+                if start:
+                    text = [b" ".join(chunk.words[i:i + k]).decode("utf-8", "replace") for i in start]
+                    yield out([f"{k}\t{t}\t{chunk.names[j]}" for t, j in zip(text, chunk.lang[start].tolist())], None, n)
+
+    return _rows(docs).mapInArrow(run, "phrase string, h long, n long").groupBy("phrase", "h").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share: int = 16, lowered: float = 0.6) -> DataFrame:
@@ -186,8 +197,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
     field, before, passes = field_of(seeds), None, []
     while True:
         # infrequent counts are no longer needed once their sum is known
-        counted = written(full_pass(docs, longest, field, before).filter((F.col("n") >= least) | (F.col("size") == 0)), "counted")
-        passes.append(counted.filter("phrase is not null").select("lang", "size", "phrase", "n"))
+        counted = written(full_pass(docs, longest, field, before).filter((F.col("n") >= least) | F.col("phrase").startswith("0\t")), "counted")
+        passes.append(counted.filter("phrase is not null").select("phrase", "n"))
         failed = counted.filter("phrase is null")
         if failed.isEmpty():
             break
@@ -195,7 +206,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
     out = passes[0]
     for rows in passes[1:]:
         out = out.unionByName(rows)
-    return out.groupBy("lang", "size", "phrase").agg(F.max("n").alias("n"))
+    part = lambda i: F.regexp_extract("phrase", r"(?s)^(\d+)\t([^\t]*)\t(.*)$", i)
+    return out.groupBy("phrase").agg(F.max("n").alias("n")).select(part(3).alias("lang"), part(1).cast("int").alias("size"), part(2).alias("phrase"), "n")
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int = 2000, percent: int = 100, share: int = 16) -> DataFrame:

@@ -43,7 +43,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 class Chunk:
-    """Many texts' words as numbers: word ids, the hash of each id mixed with the language, and lengths of pieces ahead."""
+    """The words of many texts with their languages, and the hashes of their phrases."""
 
     def __init__(self):
         self.words: list[bytes] = []
@@ -59,20 +59,18 @@ class Chunk:
 
     def grams(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length: (length, positions where a phrase of it starts, hashes at all positions)."""
-        ids: dict[bytes, int] = {}
-        at = np.fromiter((ids.setdefault(w, len(ids)) for w in self.words), np.int64, len(self.words))
-        own = np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))
+        words = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))  # quicker than to number them
+        end = words == np.uint64(xxhash.xxh64_intdigest(b"."))
         names = sorted({lang for lang, _ in self.langs})
         number = {lang: i for i, lang in enumerate(names)}
         self.names, self.lang = names, np.repeat([number[lang] for lang, _ in self.langs], [n for _, n in self.langs])
         seed = np.array([xxhash.xxh64_intdigest(lang.encode(), 1) for lang in names], np.uint64)[self.lang]
-        words, end = own[at], at == ids[b"."]
-        ends = np.flatnonzero(end)
-        ahead = ends[np.searchsorted(ends, np.arange(len(at)))] - np.arange(len(at))  # words left in the piece
+        place = np.arange(len(words))
+        ahead = np.minimum.accumulate(np.where(end, place, len(words))[::-1])[::-1] - place  # words left in the piece
         total = seed
         with np.errstate(over="ignore"):
             for k in range(1, longest + 1):
-                total = mix(total[: len(at) - k + 1] * BASE + words[k - 1:]) if len(at) >= k else total[:0]
+                total = mix(total[: len(words) - k + 1] * BASE + words[k - 1:]) if len(words) >= k else total[:0]
                 yield k, np.flatnonzero(ahead[: len(total)] >= k), total
 
 

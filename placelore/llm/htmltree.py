@@ -268,41 +268,73 @@ NOISE = ["<ul><li><a href=x>{s}</a></li><li><a href=x>{s}</a></li><li><a href=x>
          "<h3>{s}</h3><p>{s}</p>", "<p>{s} <a href=x>{s}</a></p>", "<div><p>{l}</p></div>", "<span>{s}</span>", "<ol><li>{l}</li><li><p>{s}</p></li></ol>", "<label>{s}</label><input><button>{s}</button>", "{l}"]
 
 
-def labelled(number: int = 800, seed: int = 11) -> list[Page]:
-    """Labelled pages drawn from the shapes: regions around one region of content, some regions inside it."""
+def labelled(number: int = 900, seed: int = 11) -> list[Page]:
+    """Labelled pages drawn from the shapes: regions around one region of content, some regions inside it.
+
+    A third of the content regions have names that say nothing, regions of both kinds stand in plain or oddly named
+    wrappers of any depth, other regions take various elements, and some pages have no content element or no markup.
+    """
     rng = np.random.default_rng(seed)
 
+    def pick(values):
+        return values[rng.integers(len(values))]
+
     def text(long: bool) -> str:
         return " ".join("x" * int(k) for k in rng.integers(2, 10, rng.integers(12, 90) if long else rng.integers(1, 8)))
 
     def fill(shape: str) -> str:
         return re.sub(r"\{([sl])\}", lambda m: text(m[1] == "l"), shape)
 
+    def odd() -> str:
+        return "".join(chr(97 + int(k)) for k in rng.integers(0, 26, rng.integers(3, 9)))
+
+    def wrapped(inside: str, deep: float) -> str:
+        for _ in range(rng.integers(1, 13) if rng.random() < deep else 0):
+            inside = f"<div>{inside}</div>" if rng.random() < 0.7 else f"<div class={odd()}>{inside}</div>"
+        return inside
+
     def region(opening: str, label: int, inside: str) -> str:
         tag = opening.split()[0]
         return f"<{opening} data-label={label}>{inside}</{tag}>"
 
     def noise() -> str:
-        return region(OTHER[rng.integers(len(OTHER))], 0, "".join(fill(NOISE[rng.integers(len(NOISE))]) for _ in range(rng.integers(1, 4))))
+        opening = pick(OTHER)
+        if opening.startswith("div ") and rng.random() < 0.3:
+            tag = pick(["p", "p", "section", "ul", "aside", "div"])
+            opening = tag + opening[3:]
+            if tag == "p":
+                return region(opening, 0, text(rng.random() < 0.5))
+        return region(opening, 0, wrapped("".join(fill(pick(NOISE)) for _ in range(rng.integers(1, 4))), 0.15))
+
+    def all_content(source: str) -> Page:
+        page = Page(source, training=True)
+        page.label = [1] * len(page.label)
+        return page
 
     pages = []
     for _ in range(number):
-        opening = CONTENT[rng.integers(len(CONTENT))]
-        parts = [fill("<h1>{s}</h1>")] * int(rng.random() < 0.7) + [fill(SHAPES[rng.integers(len(SHAPES))]) for _ in range(rng.integers(1, 9))]
+        opening = pick(CONTENT)
+        if rng.random() < 0.4:
+            opening = pick(["div", f"div class={odd()}", f"div id={odd()}", f"section class={odd()}"])
+        parts = [fill("<h1>{s}</h1>")] * int(rng.random() < 0.7) + [wrapped(fill(pick(SHAPES)), 0.1) for _ in range(rng.integers(1, 9))]
+        if rng.random() < 0.03:
+            pages.append(all_content(pick(["{l}", "<html><body>{l}</body></html>", "<p>{l}</p><p>{l}</p>", "<html><body><p>{l}</p></body></html>"]).replace("{l}", text(True))))
+            continue
         for _ in range(rng.integers(0, 5)):
             parts.insert(int(rng.integers(len(parts) + 1)), noise())
-        if rng.random() < 0.04:  # no element of its own: every part stands in the body
+        if rng.random() < 0.06:  # no element of its own: every part stands in the body
             body = "".join(x if "data-label" in x.split(">")[0] else f"<p data-label=1>{text(True)}</p>" if x[0] != "<" else re.sub(r"<(\w+)", r"<\1 data-label=1", x) for x in parts)
             pages.append(Page(f"<html><body>{noise()}{body}{noise()}</body></html>", training=True))
             continue
         if opening.startswith("td"):
             body = f"<table data-label=0><tr>{region('td class=menu', 0, fill(NOISE[0]))}{region(opening, 1, ''.join(parts))}</tr></table>"
         else:
-            body = region(opening, 1, "".join(parts))
+            body = region(opening, 1, wrapped("".join(parts), 0.4))
         for _ in range(rng.integers(0, 3)):
-            body = f"<div class={'wrap container outer'.split()[rng.integers(3)]}>{noise() if rng.random() < 0.4 else ''}{body}{noise() if rng.random() < 0.4 else ''}</div>"
-        around = [noise() for _ in range(rng.integers(1, 5))], [noise() for _ in range(rng.integers(1, 5))]
-        pages.append(Page(f"<html><body>{''.join(around[0])}{body}{''.join(around[1])}</body></html>", training=True))
+            body = f"<div class={pick(['wrap', 'container', 'outer', odd()])}>{noise() if rng.random() < 0.4 else ''}{body}{noise() if rng.random() < 0.4 else ''}</div>"
+        alone = rng.random() < 0.15
+        around = [[noise() for _ in range(0 if alone else rng.integers(0, 5))] for _ in range(2)]
+        pages.append(Page(f"<html><body>{''.join(around[0])}{wrapped(body, 0.6 if alone else 0.1)}{''.join(around[1])}</body></html>", training=True))
     return pages
 
 

@@ -35,6 +35,7 @@ LONGS = 16
 BITS = 64 * LONGS
 SKETCH_BITS = 16
 FAN_OUT = 8
+COUNTED = 300
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -56,7 +57,8 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def profile(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, set_key (digest of the set, null if empty), short (its first 64 bits), excess and the bitmap."""
+    """doc_id, n, set_key (digest of the set, null if empty), short (its first 64 bits), excess, the bitmap and, for sets of
+    more than COUNTED tokens, whose bitmap is too full to tell much, the number of tokens behind each bit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, size):
             n = np.array([len(x) for x in sets], np.int64)
@@ -65,9 +67,11 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(n), pa.array(keys, pa.binary()), pa.array([int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys], pa.int64()),
                 pa.array((n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)).astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LONGS), pa.array(bits.ravel().view(np.int64)))], names=["doc_id", "n", "set_key", "short", "excess", "bits"])
+                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LONGS), pa.array(bits.ravel().view(np.int64))),
+                pa.array([np.bincount((x >> np.uint64(64 - 10)).astype(np.int64), minlength=BITS).astype(np.int32) if len(x) > COUNTED else None for x in sets], pa.list_(pa.int32()))],
+                names=["doc_id", "n", "set_key", "short", "excess", "bits", "counts"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, set_key binary, short long, excess int, bits array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, set_key binary, short long, excess int, bits array<long>, counts array<int>")
 
 
 def sketch(docs: DataFrame, size: int) -> np.ndarray:
@@ -276,12 +280,14 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def with_bits(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that no bound excludes."""
+    """The pairs (a, b) of classes that no bound excludes; two sets share at most the smaller count behind each bit."""
     for t in "ab":
-        pairs = pairs.join(classes.select(F.col("class").alias(t), *[F.col(c).alias(f"{c}_{t}") for c in ("n", "excess", "bits")]), t)
+        pairs = pairs.join(classes.select(F.col("class").alias(t), *[F.col(c).alias(f"{c}_{t}") for c in ("n", "excess", "bits", "counts")]), t)
     common = sum((F.bit_count(F.col("bits_a")[i].bitwiseAND(F.col("bits_b")[i])) for i in range(LONGS)), F.lit(0))
     fits = possible(percent, F.col("n_a"), F.col("n_a"), F.col("n_b"), F.col("n_b"), F.col("excess_a"), F.col("excess_b"), common)
-    return pairs.filter(fits).select("a", "b").distinct()
+    most = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
+    counted = F.coalesce((100 + percent) * most.cast("long") >= percent * (F.col("n_a") + F.col("n_b")), F.lit(True))
+    return pairs.filter(fits).filter(counted).select("a", "b").distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int = 85, size: int = 4, block: int = 512) -> DataFrame:
@@ -303,7 +309,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = 85, size: int = 4,
     # roots with the same sets have the same pairs: one of them stands for all
     roots = written(groups.filter("low < high").groupBy("s", "x", "c").agg(F.min("key").alias("key")).select("key"), "roots")
     members = written(rest.join(roots, "key").join(classes.select("class", "n", "excess", "bits"), "class"), "members")
-    again = written(tree_pairs(members, percent, block), "candidates")
+    again = written(with_bits(tree_pairs(members, percent, block), classes, percent), "candidates")
     return near.unionByName(written(with_sets(docs, again, size, percent), "linked"))
 
 
@@ -328,7 +334,7 @@ def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, block: int =
     marked = written(profile(docs, size), "profiles")
     filled = marked.filter("set_key is not null and doc_id is not null")
     one = lambda c: F.any_value(c).alias(c)
-    classes = written(filled.groupBy("set_key").agg(F.min("doc_id").alias("class"), one("short"), one("n"), one("excess"), one("bits")), "classes")
+    classes = written(filled.groupBy("set_key").agg(F.min("doc_id").alias("class"), one("short"), one("n"), one("excess"), one("bits"), one("counts")), "classes")
     found = links(docs.filter("doc_id is not null"), classes, percent, size, block)
     # several texts of one doc_id tie their classes together
     several = filled.groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).filter("k > 1").select("doc_id")

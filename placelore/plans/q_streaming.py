@@ -15,7 +15,12 @@ from placelore.streaming import review_stream as RS
 def r1(v):
     """Profiles kept by the stream: cleaned, each review once, one upsert per micro-batch of a file."""
     base = f"{shared_dir(v.spark).rstrip('/')}/review-stream-{uuid.uuid4().hex}"
-    lines = v.spark.readStream.schema(v.table("lineitem").schema).option("maxFilesPerTrigger", 1).parquet(f"{v.sf_dir}/lineitem.parquet")
+    table = v.table("lineitem")
+    stream = v.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+    if any("/lineitem.parquet/" in name for name in table.inputFiles()):  # a folder of files
+        lines = stream.parquet(f"{v.sf_dir}/lineitem.parquet")
+    else:  # one file: a stream reads folders
+        lines = stream.option("pathGlobFilter", "lineitem.parquet").parquet(v.sf_dir)
     reviews = notes_of(lines).withColumn("ts", F.col("travel_date").cast("timestamp")).withColumn("line", F.struct("review_id", "l_partkey", "l_discount", "text"))
     # travel dates span seven years in any order, so nothing within ten is late
     clean = RS.clean_stream(reviews, "3650 days", keys=("place_id", "line"))

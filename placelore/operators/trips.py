@@ -701,18 +701,18 @@ def _halves(legs: np.ndarray, below: float) -> tuple[int, int]:
     return total, better
 
 
-def rank_in_all_orders(n: int, tm: list, dm: list, order: list, weights: tuple[float, float] = (0.1875, 0.075)) -> tuple | None:
+def rank_in_all_orders(n: int, tm: list, dm: list, order: list, weights: tuple[float, float] = (0.1875, 0.075), base: float = 0.6625) -> tuple | None:
     """(n_orders, rank, best, mine) of one order of stops; None if one of its legs is missing.
 
-    The score is 1 less the weighted time and distance, each scaled between its least and largest value over all orders
-    (1 where they are equal). Scores within half of 1e-9 count as equal, which is what rounding to 9 digits keeps apart.
+    The score is ``base`` plus the weighted time and distance, each scaled to 1 for the least and 0 for the largest value
+    over all orders (1 where they are equal); ``base`` is what all orders of a request have in common. Scores within half of 1e-9 count as equal, which is what rounding to 9 digits keeps apart.
     """
     legs = [np.array([np.inf if x is None else x for x in values], float).reshape(n, n) for values in (tm, dm)]
     path = [sum(x[i, j] for i, j in zip(order, order[1:])) for x in legs]
     if not all(map(np.isfinite, path)):
         return None
     if n == 1:
-        return 1, 1, 1.0, 1.0
+        return 1, 1, base + sum(weights), base + sum(weights)
     whole = np.where(np.isfinite(legs[0]), 0.0, np.inf)
     short, mine = 0.0, 0.0
     for weight, x, value in zip(weights, legs, path):
@@ -722,7 +722,8 @@ def rank_in_all_orders(n: int, tm: list, dm: list, order: list, weights: tuple[f
             short, mine = short + weight * low / (high - low), mine + weight * value / (high - low)
     orders, better = _halves(whole, mine - 5e-10)
     best = _subset_bounds(whole, False)
-    return orders, 1 + better, 1 - (best - short), 1 - (mine - short)
+    top = base + sum(weights)
+    return orders, 1 + better, top - (best - short), top - (mine - short)
 
 
 def rank_orders(req: DataFrame, order: str) -> DataFrame:

@@ -116,6 +116,51 @@ def test_shortest_paths_match_relaxation(world):
         assert {n: d for (src, n), d in got.items() if src == s} == pytest.approx(dist)
 
 
+def test_shortest_routes_list_their_stops(world):
+    spark = world["spark"]
+    ways = P.shortest_paths(spark.createDataFrame([(0,), (3,), (3,), (99,)], "source bigint"), world["roads"])
+    rows = P.shortest_routes(ways).collect()
+    assert {(r.source, r.node) for r in rows if r.source == r.node} == {(0, 0), (3, 3), (99, 99)} and len(rows) == len({(r.source, r.node) for r in rows})
+    for r in rows:
+        assert r.path[0] == r.source and r.path[-1] == r.node and len(set(r.path)) == len(r.path)
+        assert sum(world["edges"][a, b] for a, b in zip(r.path, r.path[1:])) == pytest.approx(r.total)
+    # equally short ways: the smaller node before wins, also when it is found later
+    tie = spark.createDataFrame([(1, 5, 1.0), (5, 9, 3.0), (1, 7, 2.0), (7, 2, 1.0), (2, 9, 1.0), (9, 4, 1.0)], "a bigint, b bigint, travel_time_min double")
+    got = {r.node: r.path for r in P.shortest_routes(P.shortest_paths(spark.createDataFrame([(1,)], "source bigint"), tie)).collect()}
+    assert got[4] == [1, 7, 2, 9, 4]
+    assert P.shortest_routes(P.shortest_paths(spark.createDataFrame([], "source bigint"), tie)).count() == 0
+
+
+def test_rank_among_all_orders_at_any_length(world, spark):
+    """Subset programming and halves against the list of all orders, with missing legs and ties."""
+    rng = random.Random(9)
+    rows = []
+    for r in range(14):
+        n = 1 + r % 8
+        cell = lambda i, j: None if i == j or rng.random() < 0.08 else rng.randrange(1, 30 if r % 3 else 3) * M  # noqa: E731,B023
+        tm = [cell(i, j) for i in range(n) for j in range(n)]
+        dm = [None if t is None else rng.randrange(1, 40) * M for t in tm]
+        rows.append((r, n, tm, dm, [0, *rng.sample(range(1, n), n - 1)], "clash"))
+    df = spark.createDataFrame(rows, "req_id bigint, n int, tm array<bigint>, dm array<bigint>, ord array<int>, rank string")
+    want = {}
+    for r, n, tm, dm, mine, _ in rows:
+        orders = {}
+        for rest in itertools.permutations(range(1, n)):
+            p = (0, *rest)
+            legs = [(tm[a * n + b], dm[a * n + b]) for a, b in zip(p, p[1:])]
+            if all(t is not None for t, _ in legs):
+                orders[p] = (sum(t for t, _ in legs), sum(d for _, d in legs))
+        if tuple(mine) not in orders:
+            continue
+        scaled = lambda x, k: 1.0 if min(o[k] for o in orders.values()) == max(o[k] for o in orders.values()) else 1 - (x[k] - min(o[k] for o in orders.values())) / (max(o[k] for o in orders.values()) - min(o[k] for o in orders.values()))  # noqa: E731,B023
+        score = {p: round(0.75 * (0.55 + 0.25 * scaled(x, 0) + 0.10 * scaled(x, 1)) + 0.25, 9) for p, x in orders.items()}
+        me, best = score[tuple(mine)], max(score.values())
+        want[r] = (len(orders), 1 + sum(s > me for s in score.values()), best == me, round(max(0, (best - me) / best) * 100, 4))
+    got = {x.req_id: (x.n_orders, x["rank"], x.top1, x.gap_pct) for x in P.rank_orders(df, "ord").collect()}
+    assert got == want and len(want) > 5
+    assert P.rank_orders(df.limit(0), "ord").count() == 0
+
+
 def test_pareto_front_matches_brute_force(spark):
     rng = random.Random(1)
     rows = [(r, i, float(rng.randrange(6)), float(rng.randrange(6)), rng.randrange(6), rng.randrange(6) / 5) for r in range(3) for i in range(90)]

@@ -162,16 +162,17 @@ def has_letters(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def known_share(table: np.ndarray, texts: list[str | None], wanted: np.ndarray | None = None) -> np.ndarray:
+def known_share(table: np.ndarray, texts: list[str | None], wanted: np.ndarray | None = None, margin: float = 0.3) -> np.ndarray:
     """Share of each text's words that the mixture gives to the wanted languages (rows of ``table``; None: all).
 
-    Beside the languages stands a background under which all trigrams are equally likely; it takes the words that no
-    language explains. Texts without letters have a share of 0.
+    Beside the languages stands a background under which all trigrams are equally likely, less ``margin`` in the
+    log-likelihood of each; it takes the words that no language explains, but not those that a language learned from a
+    few texts has merely not seen. Texts without letters have a share of 0.
     """
     letters, out = Letters(texts), np.zeros(len(texts))
     if not len(letters.doc):
         return out
-    even = -np.log(float(1 << BITS)) * (letters.ends - letters.begins)
+    even = -(np.log(float(1 << BITS)) + margin) * (letters.ends - letters.begins)
     logs = np.concatenate([word_likelihoods(table, letters), even[:, None]], axis=1)
     like = np.exp(logs - logs.max(axis=1, keepdims=True))
     first = np.flatnonzero(np.concatenate([[True], letters.doc[1:] != letters.doc[:-1]]))

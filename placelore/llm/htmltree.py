@@ -317,8 +317,9 @@ def labelled(number: int = 900, seed: int = 11) -> list[Page]:
         if rng.random() < 0.4:
             opening = pick(["div", f"div class={odd()}", f"div id={odd()}", f"section class={odd()}"])
         parts = [fill("<h1>{s}</h1>")] * int(rng.random() < 0.7) + [wrapped(fill(pick(SHAPES)), 0.1) for _ in range(rng.integers(1, 9))]
-        if rng.random() < 0.03:
-            pages.append(all_content(pick(["{l}", "<html><body>{l}</body></html>", "<p>{l}</p><p>{l}</p>", "<html><body><p>{l}</p></body></html>"]).replace("{l}", text(True))))
+        if rng.random() < 0.1:
+            bare = pick(["{l}", "<p>{l}</p>", "<p>{l}</p><p>{l}</p>", "<html><body>{l}</body></html>", "<html><body><p>{l}</p></body></html>", f"<html><body><div class={odd()}><p>{{l}}</p></div></body></html>"])
+            pages.append(all_content(fill(bare)))
             continue
         for _ in range(rng.integers(0, 5)):
             parts.insert(int(rng.integers(len(parts) + 1)), noise())

@@ -218,13 +218,15 @@ def q11(v):
 
 
 def _any_word(words):
-    """A question holds one of the words: SQL and column."""
-    return " or ".join(f"contains(lower(question), {lit(w)})" for w in words), F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower("question"), w))
+    """A question holds one of the words, as SQL."""
+    return "(" + " or ".join(f"contains(lower(question), {lit(w)})" for w in words) + ")"
 
 
-_BUSY_SQL, _BUSY = _any_word(R.BUSY_WORDS)
-_QUIET_SQL, _QUIET = _any_word(R.QUIET_WORDS)
-_BUSY_SQL, _BUSY = f"(({_BUSY_SQL}) and not ({_QUIET_SQL}))", _BUSY & ~_QUIET
+def _holds(words):
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower("question"), w))
+
+
+_BUSY_SQL = f"({_any_word(R.BUSY_WORDS)} and not {_any_word(R.QUIET_WORDS)})"
 
 
 def _two(*parts):
@@ -235,8 +237,8 @@ def _two(*parts):
                          _profile_sql("crowd_label as value", "-crowd_level", "crowd_level is not null", "crowd_level >= 4", "crowd_level >= 4 and conf >= 0.5", _BUSY_SQL)))
 def q12(v):
     """Quiet places, the quietest first; for questions with a busy word and no quiet one the busiest."""
-    level = F.col("crowd_level")
-    parts = [_profile_query(v, F.col("crowd_label"), level.isNotNull(), ok, ok & (F.col("conf") >= 0.5), order, asked) for ok, order, asked in ((level <= 2, level, ~_BUSY), (level >= 4, -level, _BUSY))]
+    level, busy = F.col("crowd_level"), _holds(R.BUSY_WORDS) & ~_holds(R.QUIET_WORDS)
+    parts = [_profile_query(v, F.col("crowd_label"), level.isNotNull(), ok, ok & (F.col("conf") >= 0.5), order, asked) for ok, order, asked in ((level <= 2, level, ~busy), (level >= 4, -level, busy))]
     return parts[0].unionByName(parts[1])
 
 
@@ -245,22 +247,31 @@ def _cost_level_words():
     return [(level, [w for w, x in R.COST_WORDS.items() if x == level]) for level in ("FREE", "HIGH", "MODERATE", "LOW")]
 
 
-def _cost_branches():
-    """(level, SQL condition, column): the first level whose words a question holds; LOW if it holds none."""
-    before_sql, before, out = "false", F.lit(False), []
+def _cost_sql():
+    """(level, SQL condition): the first level whose words a question holds; LOW if it holds none."""
+    before, out = "false", []
+    for level, words in _cost_level_words():
+        sql = _any_word(words) if level != "LOW" else "true"
+        out.append((level, f"({sql} and not ({before}))"))
+        before = f"{before} or {sql}"
+    return out
+
+
+def _cost_columns():
+    before, out = F.lit(False), []
     for level, words in _cost_level_words():
-        sql, col = _any_word(words) if level != "LOW" else ("true", F.lit(True))
-        out.append((level, f"(({sql}) and not ({before_sql}))", col & ~before))
-        before_sql, before = f"{before_sql} or ({sql})", before | col
+        col = _holds(words) if level != "LOW" else F.lit(True)
+        out.append((level, col & ~before))
+        before = before | col
     return out
 
 
 @query("q13_cost", _two(*[_profile_sql("cost_level as value", "coalesce(median_lkr, 1000000000)", "cost_level is not null", f"cost_level = '{level}'", f"cost_level = '{level}' and conf >= 0.3", sql)
-                          for level, sql, _ in _cost_branches()]))
+                          for level, sql in _cost_sql()]))
 def q13(v):
     """Places of the cost level that the question's words ask for, the cheapest first."""
     out = None
-    for level, _, asked in _cost_branches():
+    for level, asked in _cost_columns():
         ok = F.col("cost_level") == level
         part = _profile_query(v, F.col("cost_level"), F.col("cost_level").isNotNull(), ok, ok & (F.col("conf") >= 0.3), F.coalesce("median_lkr", F.lit(1000000000)), asked)
         out = part if out is None else out.unionByName(part)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -81,6 +82,18 @@ def first_of_each(rows: DataFrame, key: str, name: str, most: int) -> DataFrame:
     return thin.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_n", "_nth")
 
 
+class Made(dict):
+    """Values made by a function of their key when they are first asked for."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class ChunkEncoder:
     """Exact ids of a public tokenizer for whole texts, put together from encoded chunks that are kept.
 
@@ -92,28 +105,27 @@ class ChunkEncoder:
     those not used lately are let go.
     """
 
-    MARK, LATIN = "!", "\u0100"
+    LATIN = "\u0100"
     #: Latin-1 letters, after a blank or not, and marks that follow them.
     SHAPE = re.compile(r"( ?[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!#$%&*,\-./:;=?@^_|~)\]}>]*)")
 
     def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_blanks = self.tokenizer.normalizer is not None
-        self.keep, self.now, self.old, self.ends = keep, {}, {}, {}
-        self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = CharDelimiterSplit("\n")
+        self.keep, self.now, self.old = keep, Made(self.made), {}
+        self.ends = Made(lambda mark: self.ids([mark])[0])
+        self.model = self.tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(i) for i in range(ord(" "), ord(self.LATIN)) if i == 32 or chr(i).isalpha()]
         self.shown = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
-        resize = getattr(self.merges.model, "_resize_cache", None)
+        resize = getattr(self.model, "_resize_cache", None)
         if resize:  # what comes here is new, so the model's own cache never helps
             resize(16)
-        self.mark = self.merges.encode(self.MARK).ids[0]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -129,68 +141,40 @@ class ChunkEncoder:
         body = chunk[1:] if chunk[:1] == " " else chunk
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
-    def merged(self, chunks: list[str]) -> list[bytes]:
-        """Ids of plain chunks."""
-        joined = f"\n{self.MARK}\n".join([*(c.lower() for c in chunks), ""]) if self.drops_blanks else f"\n{self.MARK}\n".join([*chunks, ""])
-        ids = np.array(self.merges.encode_batch_fast([joined.translate(self.shown)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == self.mark)
-        data = ids.tobytes()
-        return [data[4 * a:4 * b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
-
-    def add(self, fresh: set[str]) -> None:
-        """Put the ids of ``fresh`` chunks into ``now``; None stands for a chunk that must not stand alone."""
-        now, old, shape = self.now, self.old, self.SHAPE.fullmatch
-        again = fresh & old.keys()
-        now.update((c, old[c]) for c in again)
-        plain, ended, other = [], [], []
-        for c in fresh - again:
-            found = shape(c)
-            if not found:
-                if self.regular(c):
-                    other.append(c)
-                else:
-                    now[c] = None
-            elif found[2]:
-                ended.append((c, found[1], found[2]))
-            else:
-                plain.append(c)
-        stems = {stem for _, stem, _ in ended}
-        stems.difference_update(plain)
-        again = stems & now.keys()
-        back = (stems - again) & old.keys()
-        now.update((c, old[c]) for c in back)
-        plain += stems - again - back
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo:lo + 2000]
-            now.update(zip(part, self.merged(part)))
-        for lo in range(0, len(other), 20_000):
-            now.update(zip(other[lo:lo + 20_000], self.ids(other[lo:lo + 20_000])))
-        marks = list({mark for _, _, mark in ended}.difference(self.ends))
-        if len(self.ends) > 10_000:
-            self.ends, marks = {}, list({mark for _, _, mark in ended})
-        self.ends.update(zip(marks, self.ids(marks)))
-        ends = self.ends
-        now.update((c, now[stem] + ends[mark]) for c, stem, mark in ended)
+    def made(self, chunk: str) -> bytes | None:
+        """Ids of a chunk that is not kept; None for one that must not stand alone."""
+        if chunk in self.old:
+            return self.old[chunk]
+        found = self.SHAPE.fullmatch(chunk)
+        if not found:
+            return self.ids([chunk])[0] if self.regular(chunk) else None
+        stem, mark = found.groups()
+        if mark:
+            return self.now[stem] + self.ends[mark]
+        word = stem.lower() if self.drops_blanks else stem
+        ids = [t.id for t in self.model.tokenize(word.translate(self.shown))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [self.chunks(t) if self.drops_blanks or "\1" not in t else None for t in texts]
-        self.add({c for p in parts if p for c in p}.difference(self.now))
         get, out, whole = self.now.__getitem__, [], []
-        for i, p in enumerate(parts):
-            try:
-                out.append(b"".join(map(get, p)) if p else None)
-            except TypeError:  # a chunk that must not stand alone
-                out.append(None)
-            if out[-1] is None:
-                if texts[i]:
-                    whole.append(i)
-                else:
-                    out[-1] = b""
+        for i, text in enumerate(texts):
+            ids = None if text else b""
+            if text and (self.drops_blanks or "\1" not in text):
+                try:
+                    ids = b"".join(map(get, self.chunks(text)))
+                except TypeError:  # a chunk that must not stand alone
+                    pass
+            if ids is None:
+                whole.append(i)
+            out.append(ids)
+            if len(self.now) > self.keep:
+                self.old, self.now = self.now, Made(self.made)
+                get = self.now.__getitem__
         for i, ids in zip(whole, self.ids([texts[i] for i in whole])):
             out[i] = ids
-        if len(self.now) > self.keep:
-            self.old, self.now = self.now, {}
+        if len(self.ends) > 10_000:
+            self.ends.clear()
         return out
 
 

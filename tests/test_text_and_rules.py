@@ -177,3 +177,21 @@ def test_five_answers_reach_the_context_and_its_score(spark):
     assert sorted(r.turn for r in docs.collect()) == [1, 2, 3, 4, 5]
     facts = spark.createDataFrame([], "qid bigint, pct double")
     assert [r.text_score for r in G.retrieval_quality(facts, docs, v.questions).collect()] == [1.0]
+
+
+def test_normalizer_computes_each_rule_once(spark):
+    plan = N.normalized(spark.createDataFrame([("x",)], "text string"))._jdf.queryExecution().optimizedPlan().toString()
+    # copied into every branch that reads it, a slot's pattern stood there dozens of times and the code was too long to compile
+    assert plan.count("early (?:in the )?mornings?") <= 3
+    assert plan.count(" AS _amounts#") == 1
+
+
+def test_alternation_finds_what_its_patterns_find():
+    from placelore.functions import rules as R
+
+    words = "early in the morning 5 pm noon sunset before 8 midday dry months no fee rs. 500 us$ 3 way too much of a crowd packed not busy waterfalls november sunrises unpacked x9 am"
+    texts = [words] + words.split() + [" ".join(words.split()[i:i + 3]) for i in range(0, 30)]
+    tables = [ps for t in (R.TIME_OF_DAY, R.SEASON, R.CROWD_LEVELS, R.COST_OPINION) for _, ps in t] + [[R.AMOUNT], [R.HEAT], [r"\bfalls?|waterfall\b", r"\bnoon\b"], [r"x?", "a"]]
+    for ps in tables:
+        for t in texts:
+            assert bool(re.search(N.alternation(ps), t)) == any(re.search(p, t) for p in ps), (ps, t)

@@ -20,6 +20,8 @@ from pyspark.sql.window import Window as W
 from placelore.session import shared_dir
 
 SLICE_BYTES = 1 << 20
+#: For filters and scores, whose arrays take about eighty bytes per byte of text: workers of all stages share an executor's memory.
+JUDGED_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,13 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` holds about SLICE_BYTES bytes in each; a longer single value stays whole."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``column`` holds about ``size`` bytes in each; a longer single value stays whole."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        cut = np.cumsum(sizes) // SLICE_BYTES
+        cut = np.cumsum(sizes) // size
         edges = np.flatnonzero(np.diff(cut)) + 1
         for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
             yield batch.slice(lo, hi - lo)
@@ -63,7 +65,7 @@ def held_out(doc_id: str = "doc_id"):
 def keep_rows(docs: DataFrame, judge: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, whose text ``judge`` marks as true; nothing is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", JUDGED_BYTES):
             yield batch.filter(pa.array(judge(batch.column("text").to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

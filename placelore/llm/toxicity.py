@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelore.llm.common import SLICE_BYTES, first_of_each, held_out, keep_rows, slices
+from placelore.llm.common import JUDGED_BYTES, first_of_each, held_out, keep_rows, slices
 from placelore.llm.letters import Letters, subwords
 
 LOW, HIGH, BITS, FEWEST = 3, 5, 18, 8
@@ -68,7 +68,7 @@ def features(texts: list[str | None], labels: np.ndarray, words: int, most: int,
     plan = np.array([((t or "").count(" ") + 1) / words for t in texts])
     keep = np.where(labels == 1, min(1.0, most / max(1.0, plan[labels == 1].sum())), min(1.0, most / max(1.0, plan[labels == 0].sum())))
     hashes, shares, sizes, owners = [], [], [], []
-    cut = np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in texts]) // SLICE_BYTES)) + 1  # as much at a time as in scoring
+    cut = np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in texts]) // JUDGED_BYTES)) + 1  # as much at a time as in scoring
     for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)]):
         letters = Letters(texts[lo:hi])
         if not len(letters.doc):
@@ -181,7 +181,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", JUDGED_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(shared.value, batch.column("text").to_pylist()))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")

@@ -193,3 +193,14 @@ def test_parser_closes_what_html_leaves_open():
 
 def test_empty_pages_table(spark, tree_model):
     assert htmltree.main_text(spark.createDataFrame([], "page_id long, url string, html string"), tree_model).collect() == []
+
+
+def test_filters_judge_little_text_at_a_time(spark):
+    from placelore.llm.common import JUDGED_BYTES, keep_rows
+
+    # arrays of a judge are many times its text, and an executor holds several workers: 3,039 of 3,000 MB with slices of 1 MB
+    docs = spark.createDataFrame([(i, "ab " * 10_000) for i in range(40)], "doc_id long, text string").coalesce(1)
+    most = 2 * JUDGED_BYTES
+    assert most <= 1 << 19
+    kept = keep_rows(docs, lambda texts: np.full(len(texts), sum(map(len, texts)) <= most))
+    assert kept.count() == 40

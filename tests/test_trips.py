@@ -186,6 +186,35 @@ def test_history_similarity_matches_pairs(spark):
         assert r.similarity == pytest.approx(want)
 
 
+@pytest.mark.parametrize("busy", [1, 3, 256])
+def test_history_similarity_of_prefixes_and_busy_pairs(spark, busy):
+    rng = random.Random(3)
+    trips = {i: rng.sample(range(20), rng.randrange(1, 12)) for i in range(60)}
+    paths = {i: rng.sample(range(24), rng.randrange(1, 10)) for i in range(40)}
+    t = spark.createDataFrame([(i, p) for i, ps in trips.items() for p in ps], "trip_id int, place_id bigint")
+    p = spark.createDataFrame(list(paths.items()), "id int, path array<bigint>")
+    past, heavy, max_len = P.history_index(t, max_len=6, busy=busy)
+    assert (heavy is None) == (busy == 256)
+    got = {r.id: r.best for r in P.path_similarity(p, "id", lambda n: F.sequence(F.lit(1), n), past, heavy, max_len).collect()}
+    for i, path in paths.items():
+        want = [max(len(set(path[:k]) & set(ps)) / len(set(path[:k]) | set(ps)) for ps in trips.values()) for k in range(1, len(path) + 1)]
+        assert got.get(i, [0.0] * len(path)) == pytest.approx(want)
+
+
+def test_a_pool_stays_in_its_row(world):
+    """The pool of routes is made, scored and ranked without a shuffle, and equals the work on one row per route."""
+    trips = world["spark"].createDataFrame([(i, p, k) for i in range(9) for k, p in enumerate(range(i % 4, 12, 3))], "trip_id int, place_id bigint, pos int")
+    pools = P.route_pool(world["req"], trips).cache()
+    rows = pools.select("req_id", F.inline("routes"))
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(P.rank_pool(pools)) == exchanges(pools)
+    key = lambda r: (r.req_id, r["rank"], r.route_key, r.in_front, round(r.preference_score, 9))
+    cols = ["req_id", "rank", "route_key", "in_front", "preference_score"]
+    got, want = [sorted(map(key, df.select(cols).collect())) for df in (P.rank_pool(pools), P.rank_routes(rows))]
+    assert got == want and len(want) > 20
+    assert rows.groupBy("req_id", "route_key").count().filter("count > 1").isEmpty()
+
+
 def test_walks_are_feasible_and_repeatable(world):
     a = sorted(map(str, P.sampled_walks(world["req"], 4, 2).collect()))
     assert a == sorted(map(str, P.sampled_walks(world["req"], 4, 2).collect()))

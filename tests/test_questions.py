@@ -58,3 +58,24 @@ def test_stages_and_routes(spark):
     fact = lambda name, keep="true": lambda rows: rows.filter(keep).select("qid", F.lit("p").alias("place_name"), F.lit(name).alias("fact"))
     rows = {(r.qid, r.route, r.fact) for r in Q.dispatch(q, {"even": fact("e", "qid > 2"), "odd": fact("o")}, fact("general")).collect()}
     assert rows == {(0, "even", "general"), (2, "even", "general"), (4, "even", "e"), (6, "even", "e"), (8, "even", "e"), (1, "odd", "o"), (3, "odd", "o"), (5, "odd", "o"), (7, "none", "general")}
+
+
+def test_dense_blocks_hold_few_scores():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from placelore.operators.similarity import block_topk
+
+    rng = np.random.default_rng(1)
+    base, vectors = rng.normal(size=(4, 20_000)), rng.normal(size=(1024, 4))
+    tracemalloc.start()
+    got = block_topk(np.arange(20_000), base, np.arange(1024), pd.Series(list(vectors)), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = vectors[:40] @ base
+    s[np.arange(40), np.arange(40)] = -np.inf
+    first = got.sort_values("score", ascending=False).drop_duplicates("qid").set_index("qid")["id"]
+    assert [first[i] for i in range(40)] == s.argmax(axis=1).tolist()
+    assert peak < 100e6  # 1,024 queries at once would hold 164 MB of scores, and as much again to sort them

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from placelore.operators import graphq as G
 from placelore.operators import questions as Q
 
 ASKED = [(1, "Where can I go Surfing, surf or hike near Blue Bay?"), (2, "HIKE! hiking; a hike-up (surf)"), (3, None), (4, ""), (5, "uncrowded surfing in the North Coast"), (6, "nothing known"), (6, "nothing known")]
@@ -60,6 +61,23 @@ def test_stages_and_routes(spark):
     assert rows == {(0, "even", "general"), (2, "even", "general"), (4, "even", "e"), (6, "even", "e"), (8, "even", "e"), (1, "odd", "o"), (3, "odd", "o"), (5, "odd", "o"), (7, "none", "general")}
 
 
+def test_nearest_with_many_places_on_one_spot(spark):
+    """Equal to all pairs where spots hold many places, and a spot meets spots, not their places."""
+    from placelore.functions.geo import haversine_km
+
+    rows = [(i, 6.0 + (i * 37 % 9) / 3, 80.0 + (i * 53 % 7) / 4) for i in range(150)] + [(200, 9.9, 82.0)]
+    p = spark.createDataFrame(rows, "place_id bigint, lat double, lon double")
+    got = {(r.place_id, r["rank"], r.near_id) for r in G.nearest(p, p, 4).collect()}
+    o = p.toDF("near_id", "nlat", "nlon")
+    km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon")), 6)
+    pairs = p.join(o, F.col("place_id") != F.col("near_id")).select("place_id", "near_id", km.alias("km")).collect()
+    want = set()
+    for i, _, _ in rows:
+        mine = sorted((r.km, r.near_id) for r in pairs if r.place_id == i)[:4]
+        want |= {(i, k + 1, near) for k, (_, near) in enumerate(mine)}
+    assert got == want
+
+
 def test_dense_blocks_hold_few_scores():
     import tracemalloc
 

@@ -78,6 +78,19 @@ def test_nearest_with_many_places_on_one_spot(spark):
     assert got == want
 
 
+def test_what_to_avoid_is_kept_by_trigger(spark):
+    """Places to avoid are listed once per trigger, however many questions hold it."""
+    terms = spark.createDataFrame([(q, "trigger", "uncrowded") for q in range(50)] + [(q, "activity", "surf") for q in range(50)], "qid bigint, kind string, term string")
+    has = spark.createDataFrame([("activity", p, f"P{p}", "surf", "positive", 50.0 - p, 9, "d", "p", "c") for p in range(20)]
+                                + [("feature", p, f"P{p}", "crowds", "negative", 40.0, 9, "d", "p", "c") for p in range(5)],
+                                "kind string, place_id bigint, place_name string, term string, sentiment string, pct double, review_count bigint, district string, province string, category string")
+    avoided = Q.avoided_places(terms, has, spark.createDataFrame([("uncrowded", "crowd", 20.0)], "trigger string, avoid string, min_pct double"))
+    assert avoided.bad.count() == 5
+    q = spark.createDataFrame([(q, 3) for q in range(50)], "qid bigint, suggested int")
+    got = sorted((r.qid, r["rank"], r.place_name) for r in Q.ask_any(q, terms, has, "activity", avoided=avoided, features=None).collect())
+    assert got == [(i, k + 1, f"P{5 + k}") for i in range(50) for k in range(3)]
+
+
 def test_dense_blocks_hold_few_scores():
     import tracemalloc
 

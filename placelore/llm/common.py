@@ -129,6 +129,11 @@ class ChunkEncoder:
         if resize:  # what comes here is new, so the model's own cache never helps
             resize(16)
 
+    def forget(self) -> None:
+        """Let go of all kept chunks: a worker lives on after its task, beside those of later stages."""
+        self.now, self.old = Made(self.made), {}
+        self.ends.clear()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 

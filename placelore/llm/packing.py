@@ -23,11 +23,12 @@ from placelore.llm.common import crc, encoder, slices, written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, forget: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens of every document (doc_id, text), each document ended by ``end_id``.
 
     A null text is empty. Only documents longer than the capacity are cut; their first piece takes what is left over,
-    the others are full. ``part`` and ``rank`` number the pieces of one length within a task.
+    the others are full. ``part`` and ``rank`` number the pieces of one length within a task. With ``forget`` a task lets go of
+    its encoder's kept chunks when it ends; without, the worker's next task goes on with them.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, enc, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(tokenizer), np.uint32(end_id).tobytes()
@@ -43,6 +44,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                     lo, piece, size = lo + size, piece + 1, capacity
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+        if forget:
+            enc.forget()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
@@ -115,6 +118,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, max_documents: int = 2048, max
                     (F.col("first_offset") + nth % F.col("copies") * bins["length"]).alias("offset")))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, **limits) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, forget: bool = False, **limits) -> DataFrame:
     """Every token of every document in one sequence slot: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(written(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity, **limits)
+    return pack(written(token_pieces(docs, tokenizer, capacity, end_id, forget), "pieces"), capacity, **limits)

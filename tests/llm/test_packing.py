@@ -87,3 +87,18 @@ def test_one_length_holds_most_rows(spark):
     rows = pack(token_pieces(docs, PATH, 16), 16).collect()
     size = rows[0].length
     assert len({(r.sequence_id, r.offset) for r in rows}) == 400 and len({r.sequence_id for r in rows}) == -(-400 // (16 // size))
+
+
+def test_encoder_lets_go_of_its_chunks():
+    """The pipeline's workers kept some 65 MB of chunks each beside its other stages."""
+    import public_tokenizers
+
+    from placelore.llm.common import ChunkEncoder
+
+    enc = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Some words, and some more words.", "café 42!"]
+    first = enc.encode(texts)
+    assert len(enc.now) > 5
+    enc.forget()
+    assert not enc.now and not enc.old and not enc.ends
+    assert enc.encode(texts) == first

@@ -8,8 +8,9 @@ Documents with equal sets are one class. Classes that share a band of the signat
 of a bucket is its hub, and every other one is compared with the hub exactly, as the list of shingles in which the two
 differ. Two classes x, y around one hub differ in ``dx + dy - 2 * overlap`` shingles, where the overlap counts the
 differences from the hub that both have. If they have none in common and are similar, each of them is similar to the
-hub as well; so only those not linked to their hub are compared with the others around it, in blocks, from the
-differences alone. No link between classes that share a bucket is lost, and copies are never expanded into pairs.
+hub as well; so only those in another component than their hub are compared with the others around it, in blocks, from
+the differences alone, and of the links found only those that join two components are kept. No link between classes that
+share a bucket is lost to the groups, and neither copies nor near copies are expanded into pairs.
 """
 
 from __future__ import annotations
@@ -112,14 +113,17 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
 
 
 def linked_in(left: list[tuple], right: list[tuple], percent: int) -> list[tuple]:
-    """Links between stragglers (left) and members (right) of one hub: entries (class, n, differences)."""
+    """Links between stragglers (left) and members (right) of one hub that join labels which nothing joined before.
+
+    Entries are (class, n, differences, label); classes of one label are in one component already, so at most one link
+    less than there are labels is given, whatever the number of similar pairs.
+    """
     plus, minus = 100 + percent, 100 - percent
     dx, dy = np.array([len(x[2]) for x in left]), np.array([len(y[2]) for y in right])
     ex = plus * dx - minus * np.array([x[1] for x in left])
     ey = plus * dy - minus * np.array([y[1] for y in right])
     need = ex[:, None] + ey[None, :]
-    ids = np.array([y[0] for y in right])
-    open_ = (need <= 2 * plus * np.minimum(dx[:, None], dy[None, :])) & (np.array([x[0] for x in left])[:, None] != ids[None, :])
+    open_ = (need <= 2 * plus * np.minimum(dx[:, None], dy[None, :])) & (np.array([x[3] for x in left])[:, None] != np.array([y[3] for y in right])[None, :])
     rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
     if not len(rows):
         return []
@@ -131,21 +135,36 @@ def linked_in(left: list[tuple], right: list[tuple], percent: int) -> list[tuple
         a, b = (np.stack([np.isin(block, side[i][2], assume_unique=True) for i in at]).astype(np.float32) for side, at in ((left, rows), (right, cols)))
         overlap += a @ b.T
     good = open_[np.ix_(rows, cols)] & (need[np.ix_(rows, cols)] <= 2 * plus * overlap.astype(np.int64))
-    return [(left[rows[i]][0], right[cols[j]][0]) for i, j in np.argwhere(good).tolist()]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    out = []
+    for i, j in np.argwhere(good).tolist():
+        x, y = left[rows[i]], right[cols[j]]
+        p, q = root(x[3]), root(y[3])
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((x[0], y[0]))
+    return out
 
 
 def straggler_links(around: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) around each hub of which one side at least is not linked to the hub.
+    """Links (a, b) around each hub that join what the links to hubs leave apart.
 
-    ``around``: hub, class, n, differences, linked. Members and stragglers of a hub are dealt into blocks of about
-    ``block`` classes; a pair of blocks is one piece of work, so a hub with any number of members is shared out.
+    ``around``: hub, class, n, differences, label (the component by links to hubs), linked (if it is the hub's component).
+    Members and stragglers of a hub are dealt into blocks of about ``block`` classes; a pair of blocks is one piece of work,
+    so a hub with any number of members is shared out. A piece gives fewer links than it has labels.
     """
     sizes = around.groupBy("hub").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("strays")).filter("strays > 0 and members > 1")
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("class"), blocks(n)).cast("int")
     near = around.join(sizes, "hub")
-    right = near.select("hub", "class", "n", "differences", F.lit(False).alias("left"), deal("members").alias("r"), F.explode(F.sequence(F.lit(0), blocks("strays") - 1)).alias("l"))
-    left = near.filter(~F.col("linked")).select("hub", "class", "n", "differences", F.lit(True).alias("left"), deal("strays").alias("l"), F.explode(F.sequence(F.lit(0), blocks("members") - 1)).alias("r"))
+    right = near.select("hub", "class", "n", "differences", "label", F.lit(False).alias("left"), deal("members").alias("r"), F.explode(F.sequence(F.lit(0), blocks("strays") - 1)).alias("l"))
+    left = near.filter(~F.col("linked")).select("hub", "class", "n", "differences", "label", F.lit(True).alias("left"), deal("strays").alias("l"), F.explode(F.sequence(F.lit(0), blocks("members") - 1)).alias("r"))
     keys = ["hub", "l", "r"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,14 +173,14 @@ def straggler_links(around: DataFrame, percent: int, block: int) -> DataFrame:
 
         at, sides = None, ([], [])
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in (*keys, "class", "n", "left")]
+            cols = [batch.column(k).to_pylist() for k in (*keys, "class", "n", "label", "left")]
             flat, ends = batch.column("differences").flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column("differences").value_lengths().to_numpy())]).tolist()
-            for i, (hub, lb, rb, name, n, is_left) in enumerate(zip(*cols)):
+            for i, (hub, lb, rb, name, n, label, is_left) in enumerate(zip(*cols)):
                 if (hub, lb, rb) != at:
                     if all(sides) and (found := linked_in(*sides, percent)):
                         yield out(found)
                     at, sides = (hub, lb, rb), ([], [])
-                sides[0 if is_left else 1].append((name, n, flat[ends[i]:ends[i + 1]].copy()))
+                sides[0 if is_left else 1].append((name, n, flat[ends[i]:ends[i + 1]].copy(), label))
         if all(sides) and (found := linked_in(*sides, percent)):
             yield out(found)
 
@@ -193,8 +212,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int
     differ = F.concat(F.array_except("items", "hub_items"), F.array_except("hub_items", "items"))
     around = both.select("hub", "class", "n", "hub_n", differ.alias("differences"))
     around = written(around.withColumn("linked", (100 - percent) * (F.col("n") + F.col("hub_n")) >= (100 + percent) * F.size("differences")), "around")
-    links = around.filter("linked").select(F.col("hub").alias("a"), F.col("class").alias("b")).unionByName(straggler_links(around, percent, block))
-    labels = components(links).select(F.col("node").alias("class"), "label")
+    star = around.filter("linked").select(F.col("hub").alias("a"), F.col("class").alias("b"))
+    known = components(star)
+    # a class may be linked to the hub of another bucket: only what is in another component than its hub is a straggler
+    far = around.join(known.select(F.col("node").alias("class"), "label"), "class", "left").join(known.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub", "left")
+    far = far.select("hub", "class", "n", "differences", F.coalesce("label", "class").alias("label"), (F.coalesce("label", "class") == F.coalesce("hub_label", "hub")).alias("linked"))
+    labels = components(star.unionByName(straggler_links(written(far, "labelled"), percent, block))).select(F.col("node").alias("class"), "label")
     named = classed.select("doc_id", "n_shingles", "class").join(labels, "class", "left")
     component = F.coalesce("label", "class", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from placelore.llm.superminhash import near_duplicates, shingles, signatures
+from placelore.llm.superminhash import linked_in, near_duplicates, shingles, signatures
 
 SCHEMA = "doc_id long, text string, n long, hub string, class string"
 
@@ -90,6 +90,18 @@ def test_a_chain_links_through_strays(spark):
     assert result(near_duplicates(frame(spark, rows), block=2)) == brute(rows)
 
 
+def test_a_group_of_near_copies_gives_no_more_links_than_it_has_classes():
+    """Sixty strays, all similar to each other: one link less than strays, none within one component."""
+    strays = [(i, 100, np.array([*range(1000, 1030), i]), i) for i in range(60)]
+    found = linked_in(strays, strays, 85)
+    assert len(found) == 59
+    joined = {0}
+    for _ in found:
+        joined |= {x for pair in found if joined & set(pair) for x in pair}
+    assert joined == set(range(60))
+    assert linked_in([(*x[:3], 7) for x in strays], [(*x[:3], 7) for x in strays], 85) == []
+
+
 def test_long_texts_and_many_copies(spark):
     text = " ".join(f"w{i % 977}" for i in range(30_000))
     rows = [(i, text) for i in range(60)] + [(60, text + " end"), (61, "other words stand here alone")]

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,19 @@ def test_rank_among_all_orders_at_any_length(world, spark):
     assert P.rank_orders(df.limit(0), "ord").count() == 0
 
 
+def test_orders_listed_at_once_rank_like_halves():
+    """A slice of requests of one length against one request at a time, at lengths on both sides of the listed ones."""
+    rng = np.random.default_rng(3)
+    for n, count in ((1, 3), (2, 3), (5, 40), (8, 6), (10, 2)):
+        tm = np.where(rng.random((count, n * n)) < 0.06, np.inf, rng.integers(1, 40, (count, n * n)) * float(M))
+        dm = np.where(np.isfinite(tm), rng.integers(1, 60, (count, n * n)) * float(M), np.inf)
+        order = np.array([[0, *(1 + rng.permutation(n - 1))] for _ in range(count)])
+        got = P.rank_in_listed_orders(n, tm, dm, order)
+        want = [P.rank_in_all_orders(n, t, d, o.tolist()) for t, d, o in zip(tm, dm, order)]
+        assert [x and x[:2] for x in got] == [x and x[:2] for x in want]
+        assert [x[2:] for x in got if x] == [pytest.approx(x[2:]) for x in want if x]
+
+
 def test_pareto_front_matches_brute_force(spark):
     rng = random.Random(1)
     rows = [(r, i, float(rng.randrange(6)), float(rng.randrange(6)), rng.randrange(6), rng.randrange(6) / 5) for r in range(3) for i in range(90)]

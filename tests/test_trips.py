@@ -98,6 +98,15 @@ def test_subsets_fit_and_are_maximal(world):
         r for r, s in world["reqs"].items() if len(s) > 1 and (time_of(world, nn(world, s[0], s[1:])) or 1e9) <= 500}
 
 
+def test_a_trial_of_a_set_makes_its_order_once(world):
+    """The order is bound before its legs are summed, and long visits or a missing leg do not fit."""
+    fit = world["req"].select("req_id", "n", P.fits(P._upto(F.col("n")), F.lit(500 * M)).alias("fit"))
+    assert fit._jdf.queryExecution().analyzed().toString().count("array_except") <= 2  # as often as one order names it
+    for row in fit.collect():
+        s = world["reqs"][row.req_id]
+        assert row.fit == (row.n > 1 and (time_of(world, nn(world, s[0], s[1:])) or 1e9) <= 500)
+
+
 def test_day_split_covers_every_stop_once(world):
     d = world["req"].select("req_id", P.day_split(F.sequence(F.lit(0), F.col("n") - 1), F.lit(3), F.lit(4)).alias("d")).collect()
     for row in d:

@@ -227,3 +227,16 @@ def test_published_profiles_are_made_once(spark):
 
     plan = all_queries()[0]["s13_publish_profiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan  # it held the scan of all reviews twice, for the names that match and for those that do not
+
+
+def test_pages_with_cut_entities_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as E
+
+    pages = ["<title>one &quot</title> &quot;two&quot; &middot; &copy; x", "a &amp b &amp; c &am d & e &ampquot f", "&quo &copy &middot z &amp;quot; &ampcopy;", None, ""]
+    spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(E.oracle_sql()["t5_clean_pages"]).fetchall())
+    assert sorted(map(tuple, E.queries()["t5_clean_pages"](spark, str(tmp_path)).collect())) == want

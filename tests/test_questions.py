@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from placelore.operators import graphq as G
 from placelore.operators import questions as Q
 
@@ -132,3 +133,65 @@ def test_questions_that_ask_the_same_meet_places_once(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
     plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert not [x for x in plan if "Aggregate [" in x and "place_id" in x and "qid" in x]
+
+
+def _doubled(tmp_path):
+    """The smallest tables with suppliers and their lines twice, so that each name is that of two places."""
+    import os
+
+    import duckdb
+
+    con, source = duckdb.connect(), "/root/testdata/sf0.001"
+    shift = {"supplier": "s_suppkey + {i} as s_suppkey", "lineitem": "l_suppkey + {i} as l_suppkey, l_orderkey + {i} as l_orderkey", "orders": "o_orderkey + {i} as o_orderkey"}
+    for name in os.listdir(source):
+        table = name.removesuffix(".parquet")
+        con.execute(f"create view {table} as select * from '{source}/{name}'")
+        if table in shift:
+            twice = " union all ".join(f"select * replace ({shift[table].format(i=i)}) from {table}" for i in (0, 1_000_000))
+            con.execute(f"create or replace view twice as {twice}")
+            con.execute(f"copy (select * from twice) to '{tmp_path}/{name}' (format parquet)")
+            con.execute(f"create or replace view {table} as select * from '{tmp_path}/{name}'")
+        else:
+            os.symlink(f"{source}/{name}", tmp_path / name)
+    return con
+
+
+def _same_as_sql(spark, con, path, name):
+    cur = con.execute(E.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    want = sorted(tuple(str(dict(zip(names, r))[c]) for c in sorted(names)) for r in cur.fetchall())
+    df = E.queries()[name](spark, str(path))
+    assert sorted(tuple(str(r[c]) for c in sorted(names)) for r in df.collect()) == want
+    return len(want)
+
+
+def test_chain_of_names_with_several_places(spark, tmp_path):
+    con = _doubled(tmp_path)
+    assert _same_as_sql(spark, con, tmp_path, "q10_nearby_chain")
+
+
+def test_chain_ranks_places_per_name_not_per_question(spark, monkeypatch):
+    from placelore.plans import q_questions
+
+    plans = []
+
+    def first_answer(questions, stages, key="qid"):
+        plans.extend(stage(questions)._jdf.queryExecution().optimizedPlan().toString() for _, stage in stages)
+        return questions
+
+    monkeypatch.setattr(q_questions.Q, "first_answer", first_answer)
+    E.queries()["q10_nearby_chain"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and not any("windowspecdefinition(qid" in p for p in plans)  # every question brought all its places to a ranking
+
+
+def test_nearest_within_groups(spark):
+    places = [(i, 6 + i * 37 % 50 / 10, 80 + i * 53 % 40 / 10) for i in range(60)]
+    member = [(g, i) for g, m in (("a", 1), ("b", 7), ("c", 29)) for i in range(0, 60, m)] + [("d", 5)]
+    spot = spark.createDataFrame(places, "place_id long, lat double, lon double")
+    group = spark.createDataFrame(member, "g string, place_id long").join(spot, "place_id")
+    anchors = spot.crossJoin(spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "g string"))
+    got = G.nearest(anchors, group, 3, by="g").collect()
+    for g in "abcde":
+        ids = [i for x, i in member if x == g]
+        alone = G.nearest(spot, spot.filter(F.col("place_id").isin(ids)), 3).collect() if ids else []
+        assert {(r.place_id, r.near_id, r.rank) for r in got if r.g == g} == {(r.place_id, r.near_id, r.rank) for r in alone}

@@ -195,3 +195,14 @@ def test_nearest_within_groups(spark):
         ids = [i for x, i in member if x == g]
         alone = G.nearest(spot, spot.filter(F.col("place_id").isin(ids)), 3).collect() if ids else []
         assert {(r.place_id, r.near_id, r.rank) for r in got if r.g == g} == {(r.place_id, r.near_id, r.rank) for r in alone}
+
+
+def test_one_key_is_dealt_to_every_task(spark):
+    from placelore.session import meet
+
+    rows = spark.range(400).select(F.col("id").alias("qid"), F.lit("asia").alias("location"))
+    others = spark.createDataFrame([("asia", i) for i in range(30)] + [("africa", 99)], "location string, place_id long")
+    for most in (100, 10):  # broadcast, and copied to parts
+        met = meet(rows, others, ["location"], most=most)
+        parts = met.groupBy(F.spark_partition_id()).count().count()
+        assert parts > 1 and met.count() == met.distinct().count() == 400 * 30 and "99" not in {str(r.place_id) for r in met.select("place_id").distinct().collect()}

@@ -206,3 +206,9 @@ def test_one_key_is_dealt_to_every_task(spark):
         met = meet(rows, others, ["location"], most=most)
         parts = met.groupBy(F.spark_partition_id()).count().count()
         assert parts > 1 and met.count() == met.distinct().count() == 400 * 30 and "99" not in {str(r.place_id) for r in met.select("place_id").distinct().collect()}
+
+
+def test_questions_come_last_in_multi_criteria(spark):
+    plan = E.queries()["q9_multi_criteria"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    first = next(line for line in plan.splitlines() if "Join" in line)
+    assert "sid" in first and "place_id" not in first  # the answers of all questions were joined to the features by place
